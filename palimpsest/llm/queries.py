@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op7_mixing
+from .packing import op2_packing
 from .simhash import op6_simhash
+from .token_store import op10_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
+    "op10_token_store": op10_token_store,
 }
 
 SQL: dict[str, str] = {}
