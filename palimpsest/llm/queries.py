@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op4_embedding_dedup
+from .media import op9_media
 from .mixing import op7_mixing
 from .packing import op2_packing
 from .simhash import op6_simhash
 from .token_store import op10_token_store
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_media": op9_media,
     "op10_token_store": op10_token_store,
 }
 
