@@ -10,11 +10,13 @@ from .embedding_dedup import op4_embedding_dedup
 from .media import op9_media
 from .mixing import op7_mixing
 from .packing import op2_packing
+from .quality import op1_quality
 from .simhash import op6_simhash
 from .token_store import op10_token_store
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_simhash": op6_simhash,
