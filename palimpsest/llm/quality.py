@@ -306,6 +306,21 @@ def quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: in
     return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _good_rows(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = Model.load(model.value)
+        for batch in sliced(batches, "text"):
+            yield batch.filter(pa.array(crf.scores(*lines(batch.column("text"))) >= 0.5))
+
+    return run
+
+
+def keep_good(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """The rows of docs predicted good, with the columns of docs."""
+    model = docs.sparkSession.sparkContext.broadcast(train(train_docs, labels, folds, held_out))
+    return docs.mapInArrow(_good_rows(model), docs.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality(docs, docs, table(spark, sf_dir, "labels"))

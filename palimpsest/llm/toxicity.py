@@ -99,32 +99,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return [(r["place"], r["weight"]) for r in fitted.collect()]
 
 
-def _score_batches(model):
+class Scorer:
+    """Scores of texts by the non-zero weights."""
+
+    def __init__(self, at: np.ndarray, values: np.ndarray):
+        self.weights = np.zeros(1 << BITS)
+        self.weights[at] = values
+        self.bias, self.weights[BIAS] = self.weights[BIAS], 0.0
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        docs, found = places(Scan(texts))
+        some = self.weights[found] != 0
+        both = np.unique(docs[some] << BITS | found[some])
+        total = np.bincount(both >> BITS, weights=self.weights[both & ((1 << BITS) - 1)], minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(total + self.bias, -35, 35)))
+
+
+def _sent(spark: SparkSession, weights: list[tuple[int, float]]):
+    """The non-zero weights as a broadcast; at most 2**BITS of them."""
+    return spark.sparkContext.broadcast((np.array([p for p, _ in weights], np.int64), np.array([w for _, w in weights], np.float64)))
+
+
+def _score_rows(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model.value)
+        for batch in sliced(batches, "text"):
+            yield pa.record_batch([batch.column("doc_id"), pa.array(scorer(batch.column("text")))], names=["doc_id", "score"])
+
+    return run
+
+
+def _clean_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values = model.value
-        w = np.zeros(1 << BITS)
-        w[at] = values
-        bias, w[BIAS] = w[BIAS], 0.0
+        scorer = Scorer(*model.value)
         for batch in sliced(batches, "text"):
-            docs, found = places(Scan(batch.column("text")))
-            some = w[found] != 0
-            both = np.unique(docs[some] << BITS | found[some])
-            total = np.bincount(both >> BITS, weights=w[both & ((1 << BITS) - 1)], minlength=batch.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
+            yield batch.filter(pa.array(scorer(batch.column("text")) < 0.5))
 
     return run
 
 
-def score(docs: DataFrame, weights: list[tuple[int, float]], keep: list[str]) -> DataFrame:
-    """The columns named in keep, then score, for every row of docs; whole texts, null ones as empty."""
-    at = np.array([p for p, _ in weights], np.int64)
-    model = docs.sparkSession.sparkContext.broadcast((at, np.array([w for _, w in weights], np.float64)))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text")).withColumnRenamed("__text", "text") if "text" not in keep else None
-    if rows is None:
-        raise ValueError("text can't be kept beside the score")
-    return rows.mapInArrow(_score_batches(model), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+def keep_clean(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = 0) -> DataFrame:
+    """The rows of docs not predicted toxic, with the columns of docs."""
+    model = _sent(docs.sparkSession, train(train_docs, labels, "toxic", folds, held_out))
+    return docs.mapInArrow(_clean_rows(model), docs.schema)
 
 
 def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = 0) -> DataFrame:
@@ -134,8 +151,9 @@ def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: i
     of the empty text and is never trained on. Labels besides 0 and 1 are ignored, of unequal labels for one doc_id the
     larger counts. Columns besides doc_id and text are ignored.
     """
-    weights = train(train_docs, labels, "toxic", folds, held_out)
-    scored = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), weights, ["doc_id"])
+    model = _sent(docs.sparkSession, train(train_docs, labels, "toxic", folds, held_out))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = ids.mapInArrow(_score_rows(model), "doc_id bigint, score double")
     fold = fold_bucket("doc_id", folds) == held_out
     return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
