@@ -83,7 +83,7 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         task, row = TaskContext.get().partitionId() << 36, 0
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 3 << 20):
             ids, off = enc.encode(batch.column("text"))
             curve = hilbert_keys(project(ids, off))
             ids = np.insert(ids, off[1:], end_id)
@@ -99,10 +99,10 @@ def _encoded(path: str, end_id: int):
     return run
 
 
-_PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+_PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
 
 
-def _packed(max_tokens: int):
+def _packed(max_tokens: int, with_ids: bool):
     """Sorted documents of one range to pieces. Holds one document and the pieces of one open sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +115,13 @@ def _packed(max_tokens: int):
             nonlocal sequence
             offset = 0
             for doc_id, start, whole, ids in pieces:
-                rows.append((doc_id, start, len(ids), whole, sequence, offset, id_bytes(ids)))
+                row = (doc_id, start, len(ids), whole, sequence, offset, zlib.crc32(ids.tobytes()))
+                rows.append((*row, id_bytes(ids)) if with_ids else row)
                 offset += len(ids)
             sequence += 1
 
         def out() -> pa.RecordBatch:
-            names = [x.split()[0] for x in _PIECES.split(", ")]
+            names = [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids
             cols = list(zip(*rows)) or [()] * len(names)
             batch = pa.record_batch([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(cols, names)], names=names)
             rows.clear()
@@ -156,8 +157,9 @@ def _packed(max_tokens: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids binary as id_bytes) of packed sequences.
+def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """Pieces of packed sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 (of the ids as
+    little-endian 32-bit integers) and, if with_ids, ids (binary, as id_bytes makes it).
 
     Every row of docs is encoded whole (null text: empty) and ends with end_id; each of its ids lies in exactly one
     piece. Repeated rows are packed each for itself, null doc_ids too; sequence ids are unique but not gapless; an
@@ -170,24 +172,11 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "doc_id", "spread"]
     line = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    return line.mapInArrow(_packed(max_tokens), _PIECES)
-
-
-def _piece_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = [zlib.crc32(ids_from(x).tobytes()) for x in batch.column("ids").to_pylist()]
-        cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.record_batch([*cols, pa.array(crc, pa.int64())], names=[*batch.schema.names[:-1], "ids_crc32"])
-
-
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """Pieces with ids_crc32, the CRC-32 of their ids as little-endian 32-bit integers, in place of the ids."""
-    kinds = _PIECES.replace("ids binary", "ids_crc32 bigint")
-    return pieces.mapInArrow(_piece_sums, kinds)
+    return line.mapInArrow(_packed(max_tokens, with_ids), _PIECES + ", ids binary" * with_ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return with_checksums(pieces).select(
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
