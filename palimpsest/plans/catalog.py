@@ -1,10 +1,597 @@
-"""All queries over the versioned log by name, and their SQL counterparts."""
+"""All queries over the versioned log by name: the operators applied to the driver's tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from ..functions import encode
+from ..operators import compact, files, manifest, metrics, read, wal
+from ..options import DEFAULT
+from ..sources import carriers as c
+from ..store import Store, properties
+from ..streaming import ingest
+from . import sql
+from .sql import SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+__all__ = ["QUERIES", "SQL"]
+
+MID, LOW = 6, 3
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _at(m: DataFrame, tenths: int) -> tuple[DataFrame, Column]:
+    """The log with a snapshot column at so many tenths of it."""
+    return c.with_snapshot(m, tenths), F.col("snap")
+
+
+def _last(m: DataFrame) -> int:
+    return m.agg(F.max("seq")).first()[0] or 0
+
+
+# ---- reads
+
+
+@query
+def snapshot_scan(spark, d):
+    return read.scan(c.mutations(spark, d))
+
+
+@query
+def snapshot_scan_mid(spark, d):
+    return read.scan(*_at(c.mutations(spark, d), MID))
+
+
+@query
+def snapshot_scan_empty(spark, d):
+    return read.scan(c.mutations(spark, d), 0)
+
+
+@query
+def point_get(spark, d):
+    return read.get(c.mutations(spark, d), "key0000000000007")
+
+
+@query
+def point_get_tombstone(spark, d):
+    m = c.mutations(spark, d).where(F.col("user_key").between("key0000000000000", "key0000000000009"))
+    return read.newest(m).select("user_key", "seq", read.outcome(F.col("seq"), F.col("type")).alias("outcome"))
+
+
+@query
+def multi_get_outcome(spark, d):
+    return read.multi_get(c.mutations(spark, d), c.probes(spark, d))
+
+
+@query
+def asof_join(spark, d):
+    m = c.mutations(spark, d)
+    n = F.broadcast(c.last_sequence(m))
+    probes = c.probes(spark, d).crossJoin(n).select("probe_id", "user_key", (F.col("probe_id") * 37 % (F.col("n") + 1)).alias("snap"))
+    return read.as_of(m, probes)
+
+
+def _targets(spark, d):
+    return c.table(spark, d, "nation").select(c.key(F.col("n_nationkey") * 7).alias("target"))
+
+
+@query
+def seek_first_ge(spark, d):
+    return read.seek_all(read.scan(c.mutations(spark, d)), _targets(spark, d))
+
+
+@query
+def predecessor(spark, d):
+    return read.seek_all(read.scan(c.mutations(spark, d)), _targets(spark, d), backwards=True)
+
+
+@query
+def first_key(spark, d):
+    return read.first_key(c.mutations(spark, d))
+
+
+@query
+def last_key(spark, d):
+    return read.last_key(c.mutations(spark, d))
+
+
+@query
+def range_scan(spark, d):
+    return read.range_scan(c.mutations(spark, d), "key0000000000020", "key0000000000060")
+
+
+@query
+def prefix_scan(spark, d):
+    return read.prefix_scan(c.mutations(spark, d), "key00000000000")
+
+
+@query
+def reverse_scan(spark, d):
+    return read.reverse_scan(c.mutations(spark, d))
+
+
+@query
+def version_history(spark, d):
+    return read.history(c.mutations(spark, d))
+
+
+def _two_snapshots(m: DataFrame) -> tuple[DataFrame, Column, Column]:
+    n = F.broadcast(c.last_sequence(m))
+    return m.crossJoin(n), (F.col("n") * LOW / 10).cast("bigint"), (F.col("n") * MID / 10).cast("bigint")
+
+
+@query
+def snapshot_diff(spark, d):
+    return read.diff(*_two_snapshots(c.mutations(spark, d)))
+
+
+@query
+def common_keys(spark, d):
+    return read.common_keys(*_two_snapshots(c.mutations(spark, d)))
+
+
+@query
+def source_union_scan(spark, d):
+    """Buffer, frozen buffer and files read as one."""
+    m = c.mutations(spark, d)
+    parts = [m.where(F.col("seq") % 3 == k) for k in range(3)]
+    return read.scan(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query
+def absent_in_range(spark, d):
+    """Probes inside the key range that the even half of the log doesn't have."""
+    m = c.mutations(spark, d)
+    ends = F.broadcast(m.agg(F.min("user_key").alias("first"), F.max("user_key").alias("last")))
+    inside = c.probes(spark, d).crossJoin(ends).where(F.col("user_key").between(F.col("first"), F.col("last")))
+    return inside.join(m.where("seq % 2 = 0"), "user_key", "left_anti").select("probe_id", "user_key")
+
+
+# ---- files
+
+
+def _entries(spark, d):
+    return c.entries(c.mutations(spark, d))
+
+
+def _meta(spark, d):
+    return files.file_stats(_entries(spark, d))
+
+
+@query
+def flush_file_stats(spark, d):
+    return _meta(spark, d)
+
+
+@query
+def tier_summary(spark, d):
+    return files.tier_summary(_meta(spark, d))
+
+
+@query
+def overlapping_files(spark, d):
+    return files.overlapping(_meta(spark, d))
+
+
+@query
+def files_consulted_per_probe(spark, d):
+    return files.consulted(c.probes(spark, d), _meta(spark, d))
+
+
+@query
+def first_hit_lookup(spark, d):
+    return files.first_hit(_entries(spark, d))
+
+
+@query
+def first_hit_is_newest(spark, d):
+    """The invariant that compaction keeps: the first hit in search order is the newest version."""
+    e = _entries(spark, d)
+    newest = read.newest(e).select("user_key", F.col("seq").alias("newest_seq"))
+    return files.first_hit(e).select("user_key", F.col("seq").alias("first_seq")).join(newest, "user_key")
+
+
+@query
+def order_violations(spark, d):
+    return files.order_violations(_entries(spark, d)).select("file_no", F.col("violations").cast("int").alias("violations"))
+
+
+@query
+def dump_totals(spark, d):
+    return files.dump_totals(_entries(spark, d))
+
+
+@query
+def flush_tiers(spark, d):
+    return _entries(spark, d).select("file_no", "tier").distinct()
+
+
+# ---- compaction
+
+
+@query
+def compact_pick(spark, d):
+    flushed = c.flush_units(c.mutations(spark, d)).withColumn("tier", F.lit(0))
+    return compact.picked(files.file_stats(flushed))
+
+
+def _log_entries(e: DataFrame) -> DataFrame:
+    return e.select("seq", "type", "user_key", "value")
+
+
+def _nothing(e: DataFrame) -> DataFrame:
+    return files.file_stats(e).where("false")
+
+
+@query
+def compact_no_snapshot(spark, d):
+    e = _entries(spark, d)
+    return _log_entries(compact.merged(e, _nothing(e), _last(e)))
+
+
+@query
+def compact_with_snapshot(spark, d):
+    e = _entries(spark, d)
+    return _log_entries(compact.merged(e, _nothing(e), _last(e) * LOW // 10))
+
+
+@query
+def compact_tombstones_blocked(spark, d):
+    e = _entries(spark, d)
+    older = files.file_stats(e).where("file_no < 2")
+    return _log_entries(compact.merged(e.where(F.col("file_no").between(2, 3)), older, _last(e)))
+
+
+@query
+def compact_then_scan(spark, d):
+    """A scan after compaction equals the scan before it, for snapshots from the oldest live one on."""
+    e = _entries(spark, d)
+    n = _last(e)
+    return read.scan(compact.merged(e, _nothing(e), n * LOW // 10), n * MID // 10)
+
+
+@query
+def dropped_by_rule(spark, d):
+    e = _entries(spark, d)
+    return compact.judged(e, _nothing(e), _last(e) * LOW // 10).groupBy("fate").agg(F.count("*").alias("entries"))
+
+
+@query
+def reclaim_ratio(spark, d):
+    return compact.space(_entries(spark, d))
+
+
+@query
+def oldest_snapshot(spark, d):
+    m = c.mutations(spark, d)
+    some = c.last_sequence(m).select("n", F.explode(F.array(F.lit(LOW), F.lit(MID))).alias("tenths")).select((F.col("n") * F.col("tenths") / 10).cast("bigint").alias("seq"))
+    both = compact.oldest_snapshot(m, some).withColumn("snapshots", F.lit("with"))
+    return both.unionByName(compact.oldest_snapshot(m, some.where("false")).withColumn("snapshots", F.lit("without")))
+
+
+@query
+def compact_loop(spark, d):
+    """Every flush into tier 0, compacted until no tier is full: files and entries of each tier, and the live keys."""
+    flushed = c.flush_units(c.mutations(spark, d), max(DEFAULT.flush_rows, _last(c.mutations(spark, d)) // 20)).withColumn("tier", F.lit(0))
+    done = compact.compact_all(flushed, _last(flushed))
+    return done.groupBy("tier").agg(F.countDistinct("file_no").alias("files"), F.count("*").alias("entries"), F.count_if(F.col("type") == 1).alias("puts"))
+
+
+# ---- manifest
+
+
+@query
+def manifest_fold(spark, d):
+    return manifest.live_files(c.edits(c.mutations(spark, d)))
+
+
+@query
+def live_files_union(spark, d):
+    e = c.edits(c.mutations(spark, d))
+    return manifest.live_in_any(e, [9, 1 << 62])
+
+
+@query
+def obsolete_files(spark, d):
+    e = c.edits(c.mutations(spark, d))
+    made = e.where("action = 'add'").select(manifest.file_name(F.lit("sst"), F.col("file_no")).alias("name"))
+    ten = spark.range(10)
+    for kind in ("log", "tmp", "MANIFEST"):
+        made = made.union(ten.select(manifest.file_name(F.lit(kind), F.col("id")).alias("name")))
+    listed = made.union(spark.createDataFrame([("CURRENT",), ("LOCK",), ("notes.txt",)], "name string"))
+    return manifest.obsolete(listed, manifest.live_files(e), 4, 3)
+
+
+@query
+def orphan_bytes(spark, d):
+    return manifest.orphans(_meta(spark, d), manifest.live_files(c.edits(c.mutations(spark, d))))
+
+
+@query
+def next_file_number(spark, d):
+    return manifest.next_number(c.edits(c.mutations(spark, d)).select(F.col("file_no").alias("number")), 99)
+
+
+@query
+def min_live_log(spark, d):
+    n = c.table(spark, d, "nation")
+    low = manifest.min_live_log(F.col("n_nationkey"), F.col("n_regionkey"))
+    return n.select(F.col("n_nationkey").alias("log"), F.col("n_regionkey").alias("prev"), low.alias("min_log"))
+
+
+@query
+def catalog_parse(spark, d):
+    return manifest.parse_names(spark.createDataFrame([(n,) for n in sql.NAMES], "name string"))
+
+
+@query
+def version_text(spark, d):
+    return manifest.version_text(manifest.live_files(c.edits(c.mutations(spark, d))), _meta(spark, d))
+
+
+# ---- log
+
+
+def _batches(spark, d):
+    return c.batches(c.mutations(spark, d))
+
+
+def _records(spark, d):
+    return c.wal_records(c.mutations(spark, d))
+
+
+@query
+def batch_explode(spark, d):
+    return wal.exploded(_batches(spark, d))
+
+
+@query
+def sequence_assign(spark, d):
+    return wal.assigned(_records(spark, d))
+
+
+@query
+def torn_tail(spark, d):
+    return wal.valid_prefix(_records(spark, d)).select("log_no", "rec_no", "batch_no", "base_seq")
+
+
+@query
+def recover_logs(spark, d):
+    return wal.recovered(_records(spark, d), 1)
+
+
+@query
+def good_offset(spark, d):
+    return wal.good_offset(_records(spark, d))
+
+
+@query
+def group_commit(spark, d):
+    return wal.commit_groups(_records(spark, d), small=400, large=1000)
+
+
+@query
+def batch_last_op_wins(spark, d):
+    return wal.last_op_wins(_batches(spark, d))
+
+
+@query
+def memtable_freeze(spark, d):
+    return wal.frozen(_batches(spark, d), 1000)
+
+
+@query
+def input_validation(spark, d):
+    cases = spark.createDataFrame([(k, v) for k in sql.KEY_SIZES for v in sql.VALUE_SIZES], "key_bytes int, value_bytes int")
+    return cases.select("key_bytes", "value_bytes", wal.validation(F.col("key_bytes"), F.col("value_bytes")).alias("status"))
+
+
+@query
+def write_amplification(spark, d):
+    """Writes, commits and synced commits of the log, and writes for each sync."""
+    b = _batches(spark, d)
+    sums = b.agg(F.sum(F.size("ops")).alias("writes"), F.count("*").alias("commits"), F.count_if("sync").alias("syncs"))
+    return sums.withColumn("writes_per_sync_pct", F.floor(F.col("writes") * 100 / F.col("syncs")).cast("bigint"))
+
+
+# ---- metrics
+
+
+@query
+def counter_reduce(spark, d):
+    return metrics.reduce_counters(c.counters(spark, d))
+
+
+@query
+def hist_buckets(spark, d):
+    return metrics.histogram(c.samples(spark, d))
+
+
+@query
+def hist_merge(spark, d):
+    return metrics.merge_histograms(metrics.histogram(c.samples(spark, d), "shard"))
+
+
+@query
+def hist_summary(spark, d):
+    return metrics.summary(c.samples(spark, d))
+
+
+@query
+def hist_percentiles(spark, d):
+    return metrics.percentiles(metrics.histogram(c.samples(spark, d)), [500, 900, 990, 999, 1000])
+
+
+@query
+def openloop_validity(spark, d):
+    e = c.table(spark, d, "events")
+    i = F.floor(F.col("event_id") / 4).cast("bigint")
+    ops = e.select((F.col("user_id") % 4).alias("run"), i.alias("i"), (i * 1_000_000 + F.floor(F.col("value") * 20000)).cast("bigint").alias("done_us"))
+    return metrics.open_loop(ops, 1_000_000)
+
+
+@query
+def store_properties(spark, d):
+    return properties(_meta(spark, d))
+
+
+QUERIES["properties"] = QUERIES.pop("store_properties")
+
+
+# ---- encodings
+
+
+@query
+def packed_tag(spark, d):
+    tagged = c.mutations(spark, d).select("seq", "type", encode.packed(F.col("seq"), F.col("type")).alias("packed"))
+    seq, kind = encode.unpacked(F.col("packed"))
+    return tagged.select("*", seq.alias("seq_back"), kind.cast("bigint").alias("type_back"))
+
+
+@query
+def internal_key_valid(spark, d):
+    k = c.mutations(spark, d).select("seq", encode.internal_key(F.col("user_key"), F.col("seq"), F.col("type")).alias("k"))
+    return k.select("seq", F.length("k").alias("key_bytes"), encode.valid_internal_key(F.col("k")).alias("valid"))
+
+
+@query
+def shared_prefix(spark, d):
+    e = encode.in_file_order(_entries(spark, d))
+    return e.select("file_no", "pos", encode.shared_prefix(F.col("before"), F.col("user_key")).alias("shared"))
+
+
+@query
+def restart_points(spark, d):
+    return encode.in_file_order(_entries(spark, d)).where(F.col("pos") % DEFAULT.restart_interval == 0).select("file_no", "pos")
+
+
+BLOCK = 1024
+
+
+def _placed(spark, d):
+    size = F.octet_length("user_key") + 11 + F.coalesce(F.octet_length("value"), F.lit(0))
+    return encode.in_file_order(_entries(spark, d)).select("file_no", "pos", "user_key", "seq", size.alias("size"))
+
+
+@query
+def block_cut(spark, d):
+    return encode.cut_blocks(_placed(spark, d).select("file_no", "pos", "size"), BLOCK)
+
+
+@query
+def index_separators(spark, d):
+    p = _placed(spark, d)
+    return encode.separators(p.join(encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK), ["file_no", "pos"]))
+
+
+@query
+def block_count(spark, d):
+    cut = encode.cut_blocks(_placed(spark, d).select("file_no", "pos", "size"), BLOCK)
+    return cut.groupBy("file_no").agg(F.countDistinct("block_no").alias("blocks"))
+
+
+@query
+def block_layout_exact(spark, d):
+    """Byte-exact blocks of each file, prefixes shared over whole internal keys."""
+    return encode.block_layout(_entries(spark, d), DEFAULT.block_size, DEFAULT.restart_interval)
+
+
+@query
+def varint_length(spark, d):
+    return c.samples(spark, d).select("v").distinct().select("v", wal.varint_bytes(F.col("v")).alias("bytes"))
+
+
+@query
+def varint_bytes(spark, d):
+    return c.samples(spark, d).select("v").distinct().select("v", F.hex(encode.varint(F.col("v"))).alias("bytes"))
+
+
+@query
+def fixed_bytes(spark, d):
+    return c.mutations(spark, d).select("seq", F.hex(encode.little_endian(F.col("seq"), 4)).alias("bytes"))
+
+
+@query
+def file_names(spark, d):
+    name = manifest.file_name
+    return _meta(spark, d).select("file_no", name(F.lit("sst"), F.col("file_no")).alias("sst"), name(F.lit("MANIFEST"), F.col("file_no")).alias("manifest"))
+
+
+@query
+def printable_keys(spark, d):
+    keys = c.mutations(spark, d).select("user_key").distinct()
+    return keys.select("user_key", encode.printable(F.concat("user_key", F.lit("\0é"))).alias("shown"))
+
+
+@query
+def hot_keys(spark, d):
+    """Nine draws in ten from the first hundredth of the keys."""
+    e = c.table(spark, d, "events").select("event_id")
+    n = F.broadcast(e.agg(F.count("*").alias("n")))
+    hot = F.col("event_id") % (F.floor(F.col("n") / 100) + 1)
+    return e.crossJoin(n).select("event_id", F.when(F.col("event_id") % 10 < 9, hot).otherwise(F.col("event_id")).cast("bigint").alias("draw"))
+
+
+@query
+def block_cache_keys(spark, d):
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("block")
+    return _meta(spark, d).select("file_no", blocks).select("file_no", "block", (F.col("file_no") * (1 << 32) + F.col("block") * 4096).alias("cache_key"))
+
+
+@query
+def crc32c_records(spark, d):
+    """CRC-32C of every value, tombstones as empty."""
+    return c.mutations(spark, d).select("seq", encode.crc32c(F.coalesce(F.col("value"), F.lit("")).cast("binary")).alias("crc"))
+
+
+@query
+def hash64_keys(spark, d):
+    return c.mutations(spark, d).select("user_key").distinct().select("user_key", encode.hash64(F.col("user_key").cast("binary")).alias("hash"))
+
+
+@query
+def bloom_fpr(spark, d):
+    """False-positive share of filters over 20,000 keys, measured with 100,000 absent ones, at 4, 10 and 16 bits."""
+    keys = spark.range(20_000).select(F.concat(F.lit("key:"), F.col("id")).alias("key"))
+    absent = spark.range(100_000).select(F.concat(F.lit("absent:"), F.col("id")).alias("key"))
+    out = None
+    for per_key in (4, 10, 16):
+        bits, k = encode.filter_bits(20_000, per_key), encode.probe_count(per_key)
+        hit = encode.may_contain(absent, encode.bloom_words(keys, bits, k), bits, k)
+        row = hit.agg(F.lit(per_key).alias("bits_per_key"), F.lit(k).alias("probes"), F.count_if("maybe").alias("false_positives"), F.count("*").alias("probed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# ---- whole stores
+
+
+@query
+def store_session(spark, d):
+    """The log as a store's files, compacted under a snapshot and read through the façade."""
+    s = Store(spark, entries=_entries(spark, d))
+    with s.snapshot():
+        return s.scan()
+
+
+@query
+def stream_ingest_scan(spark, d):
+    """The event stream ingested in micro-batches as tier-0 runs, then read."""
+    from ..sources.storage import shared_dir
+
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # As a pattern, the path may be one file or a folder of them.
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
+    dead = F.col("event_type") == "error"
+    m = stream.select((F.col("event_id") + 1).alias("seq"), F.when(dead, 0).otherwise(1).alias("type"), c.key("user_id").alias("user_key"), F.when(~dead, F.concat("event_type", F.lit(":"), "props")).alias("value"))
+    ingest.ingest_runs(m, path, f"{path}-checkpoint").awaitTermination()
+    return read.scan(ingest.runs(spark, path))
