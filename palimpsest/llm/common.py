@@ -80,6 +80,12 @@ def binary_values(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def text_array(buf: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Texts from their bytes and offsets, as an array of its own: some Arrow functions misread slices."""
+    data = np.ascontiguousarray(buf)
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(data))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the named column holds about max_bytes in each (a single longer value stays whole)."""
     for batch in batches:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op4_embedding_dedup
+from .language_model import op3_language_model
 from .media import op9_media
 from .mixing import op7_mixing
 from .packing import op2_packing
@@ -18,6 +19,7 @@ from .toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_language_model": op3_language_model,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,

@@ -23,6 +23,14 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray]:
     return low, word
 
 
+@lru_cache(maxsize=1)
+def visible_table() -> np.ndarray:
+    """Words as runs of anything but space and x09 to x0D."""
+    word = np.ones(256, bool)
+    word[[32, *range(9, 14)]] = False
+    return word
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -50,12 +58,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Scan:
-    """buf: bytes of all texts in a row; off: their n+1 offsets; starts, ends: places of words; doc: text of each word;
+    """Words are runs of the bytes marked in is_word, letters and digits by default.
+
+    buf: bytes of all texts in a row; off: their n+1 offsets; starts, ends: places of words; doc: text of each word;
     word_off: n+1 offsets of the texts' words."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray | None = None):
         self.buf, self.off = binary_values(texts)
-        low, is_word = letter_tables()
+        low, letters = letter_tables()
+        is_word = letters if is_word is None else is_word
         n = len(self.buf)
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = is_word[self.buf]

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import binary_values
+from .common import binary_values, text_array
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCTUATION = r"!-&(-/:-@\[-`{-~"  # without the apostrophe, which may start a contraction
@@ -203,9 +203,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and n+1 offsets of the texts in them. Nulls are empty texts."""
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = text_array(*binary_values(texts))
         if self.entries > self.most_chunks or self.used > 8 * self.most_chunks or len(self.others) > self.most_chunks // 10:
             self._reset()
         rare = np.asarray(pc.match_substring_regex(texts, _RARE_SPACE))
