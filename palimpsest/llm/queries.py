@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op4_embedding_dedup
+from .language_id import op5_language_id
 from .language_model import op3_language_model
 from .media import op9_media
 from .mixing import op7_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language_model": op3_language_model,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
