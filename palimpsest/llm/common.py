@@ -102,6 +102,14 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             at = to
 
 
+def fitted(examples: DataFrame, fit) -> bytes:
+    """What fit (batches to one batch of one binary) makes of a bounded number of rows, in one task."""
+    row = examples.coalesce(1).mapInArrow(fit, "model binary").first()
+    if row is None:  # a table without partitions runs no task
+        return next(iter(fit(iter([])))).column(0)[0].as_py()
+    return bytes(row[0])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as bigint edges (u, v): one row (node, component) per node that has an
     edge to another node; component is the smallest node of its component.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import fitted, materialize, sliced, table
 from .textscan import letter_tables, mixed
 
 BITS = 16
@@ -115,7 +115,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> bytes:
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     some = F.broadcast(usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = usable.join(some, "doc_id").dropDuplicates(["doc_id"]).select("lang", "text")
-    return bytes(rows.coalesce(1).mapInArrow(_fit_rows, "model binary").first()[0])
+    return fitted(rows, _fit_rows)
 
 
 def _page_rows(model):
@@ -136,7 +136,7 @@ def _posterior(logs: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten()).astype(np.float64).reshape(-1, width)
+    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), width)
 
 
 def _shares(rates, width: int):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, sliced, table
+from .common import fitted, fold_bucket, sliced, table
 from .textscan import Scan, mixed
 from .toxicity import labelled_sample
 
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     some = F.broadcast(labelled_sample(labels, "quality", folds, held_out, sample))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id")
     features = rows.mapInArrow(_line_rows, "doc_id bigint, label int, lines binary").dropDuplicates(["doc_id"])
-    return bytes(features.coalesce(1).mapInArrow(_fit_rows, "model binary").first()[0])
+    return fitted(features, _fit_rows)
 
 
 def _score_rows(model):
