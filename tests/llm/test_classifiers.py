@@ -160,25 +160,21 @@ def network():
 
 
 def test_next_ids_have_probability_one_together(network):
+    """Over all ids, by way of one id of each member: the others differ by their shares, which sum to one."""
     net, enc, ids, _ = network
     end = len(enc.begins) - 1
+    place = net.group_of.astype(int) * language_model.MEMBERS + net.member_of
+    used, first = np.unique(place, return_index=True)
+    assert np.allclose(np.bincount(place, weights=np.exp(net.share))[used], 1, atol=1e-3)
     for n in (0, 5, 16, 37):
-        context = ids[:n]
-        every = np.arange(len(enc.begins))
-        texts = np.concatenate([np.append(context, i) for i in every[::97]])
+        texts = np.concatenate([np.append(ids[:n], i) for i in first])
         lp, lb = net.log_probs(texts, np.arange(0, len(texts) + 1, n + 1), end)
-        some = lp.reshape(-1, n + 1)[:, -1]
-        # Within a class, probabilities are shares of the class's: the whole sum follows from one id of each class.
-        first = {int(c): int(np.flatnonzero(net.class_of == c)[0]) for c in np.unique(net.class_of)}
-        texts = np.concatenate([np.append(context, i) for i in first.values()])
-        own, border = net.log_probs(texts, np.arange(0, len(texts) + 1, n + 1), end)
-        own = own.reshape(-1, n + 1)[:, -1] - net.share[list(first.values())]
-        assert abs(np.exp(own).sum() - 1) < 1e-4
-        by_class = dict(zip(first, own))
-        assert np.allclose(some, [by_class[int(net.class_of[i])] + net.share[i] for i in every[::97]], atol=1e-4)
-        assert abs(np.exp(border.reshape(-1, n + 1)[0, -1]) - sum(np.exp(by_class[c]) * net.border[c] for c in by_class)) < 1e-4
-    shares = np.bincount(net.class_of, weights=np.exp(net.share), minlength=language_model.CLASSES)
-    assert np.allclose(shares[np.unique(net.class_of)], 1, atol=1e-3)
+        each = np.exp(lp.reshape(-1, n + 1)[:, -1] - net.share[first])
+        # Members without any id keep a little chance, which no text can use.
+        assert 0.97 < each.sum() <= 1 + 1e-4
+        border = np.exp(lb.reshape(-1, n + 1)[0, -1])
+        begins = enc.begins[first] | (first == end)
+        assert abs(border - each[begins].sum()) < 0.03 and ((used // language_model.MEMBERS < language_model.GROUPS // 2) == begins).all()
 
 
 def test_scores_do_not_depend_on_the_batch_or_on_later_ids(network):
