@@ -6,6 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINEAR, LAST_BUCKET = 256, 57 * 256 - 1
+#: The counters of a store and how each is reduced over shards.
+COUNTERS = {
+    "writes": "sum", "wal-syncs": "sum", "bloom-checked": "sum", "bloom-rejected": "sum", "blocks-read": "sum", "filter-blocks-read": "sum",
+    "filter-bytes-resident": "gauge", "cache-hits": "sum", "cache-misses": "sum", "memtable-bytes": "gauge", "compactions": "sum",
+    "bytes-compacted": "sum", "pending-compaction-bytes": "gauge", "stalls": "sum", "max-stall-ms": "max", "orphan-files": "gauge", "orphan-bytes": "gauge",
+}
+SLOW_FILES, STOP_FILES = 8, 12
+
+
+def with_kinds(counters: DataFrame) -> DataFrame:
+    """Counters (shard, name, v) with the kind of each; unknown names are refused."""
+    kind = F.create_map(*(F.lit(x) for pair in COUNTERS.items() for x in pair))[F.col("name")]
+    return counters.withColumn("kind", F.when(kind.isNotNull(), kind).otherwise(F.raise_error(F.concat(F.lit("no counter "), F.col("name")))))
+
+
+def pressure(files: Column) -> Column:
+    """What writers meet at so many files in tier 0: nothing, a brake, or a stop."""
+    return F.when(files >= STOP_FILES, "stop").when(files >= SLOW_FILES, "slow").otherwise("free")
 
 
 def reduce_counters(counters: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import encode
 from ..operators import compact, files, manifest, metrics, read, wal
 from ..options import DEFAULT
 from ..sources import carriers as c
+from ..sources import log_file, workload
 from ..store import Store, properties
 from ..streaming import ingest
 from . import sql
@@ -572,6 +573,57 @@ def bloom_fpr(spark, d):
     return out
 
 
+@query
+def block_lookup(spark, d):
+    """The block of each file that an index search takes a key to: the first whose last key is not below it."""
+    p = _placed(spark, d)
+    index = encode.separators(p.join(encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK), ["file_no", "pos"]))
+    few = c.probes(spark, d).where("probe_id < 20")
+    return index.join(F.broadcast(few), F.col("last_key") >= F.col("user_key")).groupBy("file_no", "probe_id").agg(F.min("block_no").alias("block_no"))
+
+
+@query
+def wal_scan_raw(spark, d):
+    """The log as bytes, scanned record by record up to the first damage."""
+    found = log_file.scan_logs(log_file.write_logs(_records(spark, d)))
+    return found.select("log_no", F.size("payloads").cast("bigint").alias("records"), "stopped", "good_offset")
+
+
+@query
+def wal_replay_raw(spark, d):
+    return log_file.replayed(log_file.scan_logs(log_file.write_logs(_records(spark, d))))
+
+
+@query
+def backpressure(spark, d):
+    """What writers meet if a compaction only begins after every sixteenth flush."""
+    flushed = _meta(spark, d).select("file_no", (F.col("file_no") % 16 + 1).alias("tier0_files"))
+    return flushed.select("file_no", "tier0_files", metrics.pressure(F.col("tier0_files")).alias("writers"))
+
+
+@query
+def workload_fillseq(spark, d):
+    return workload.keys(spark, "fillseq", 4000, 4)
+
+
+@query
+def workload_fillrandom(spark, d):
+    return workload.keys(spark, "fillrandom", 4000, 4).groupBy("thread").agg(F.count("*").alias("ops"), F.countDistinct("n").alias("different_keys"))
+
+
+@query
+def workload_readhot(spark, d):
+    hot = workload.keys(spark, "readhot", 4000, 4)
+    return hot.groupBy("thread").agg(F.count_if(F.col("n") <= 40).alias("hot_reads"), F.count("*").alias("reads"))
+
+
+@query
+def workload_readmissing(spark, d):
+    """Every probe is odd, so none is in a preload of even keys."""
+    loaded = spark.range(2000).select(workload.baseline(4000, F.col("id")).alias("user_key"))
+    return workload.keys(spark, "readmissing", 4000, 4).join(loaded, "user_key", "left_anti").groupBy("thread").agg(F.count("*").alias("missing"))
+
+
 # ---- whole stores
 
 

@@ -159,6 +159,12 @@ SELECT p AS per_mille, min(lower) AS v FROM (VALUES (500), (900), (990), (999),
       UNION ALL SELECT 'live-bytes', CAST(sum(file_size) AS BIGINT) FROM meta UNION ALL SELECT 'live-entries', CAST(sum(num_entries) AS BIGINT) FROM meta""", ENTRY),
     "store_session": view(scan()),
     "stream_ingest_scan": view(scan()),
+    "wal_scan_raw": view("""SELECT log_no, count(g.rec_no) AS records, CASE WHEN count(g.rec_no) < max(w.written) THEN 'CRC mismatch' ELSE 'clean end of file' END AS stopped, CAST(coalesce(sum(9 + g.bytes), 0) + 16 AS BIGINT) AS good_offset
+      FROM (SELECT log_no, count(*) AS written FROM rec GROUP BY log_no) w LEFT JOIN good g USING (log_no) GROUP BY log_no""", BATCH),
+    "wal_replay_raw": view("SELECT log_no, seq, type, user_key, value FROM op JOIN good USING (batch_no)", BATCH),
+    "backpressure": view("SELECT file_no, file_no % 16 + 1 AS tier0_files, CASE WHEN file_no % 16 + 1 >= 12 THEN 'stop' WHEN file_no % 16 + 1 >= 8 THEN 'slow' ELSE 'free' END AS writers FROM meta", ENTRY),
+    "workload_fillseq": "SELECT t AS thread, i, t * 1000 + i AS n, printf('key%013d', t * 1000 + i) AS user_key FROM range(4) a(t), range(1000) b(i)",
+    "workload_readmissing": "SELECT t AS thread, 1000 AS missing FROM range(4) a(t)",
 }
 
 _SIZED = ENTRY + """,
@@ -168,4 +174,6 @@ _SIZED = ENTRY + """,
    CASE WHEN c.full THEN p.size ELSE c.used + p.size END >= 1024 FROM cut c JOIN placed p ON p.file_no = c.file_no AND p.pos = c.pos + 1)"""
 SQL["block_cut"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, pos, block_no FROM cut"
 SQL["index_separators"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, block_no, arg_max(user_key, pos) AS last_key, arg_max(seq, pos) AS last_seq, count(*) AS entries FROM cut JOIN placed USING (file_no, pos) GROUP BY ALL"
+SQL["block_lookup"] = f"""WITH RECURSIVE {_SIZED}, sep AS (SELECT file_no, block_no, arg_max(user_key, pos) AS last_key FROM cut JOIN placed USING (file_no, pos) GROUP BY ALL)
+SELECT file_no, probe_id, min(block_no) AS block_no FROM sep JOIN (SELECT * FROM {PROBES} WHERE probe_id < 20) p ON last_key >= p.user_key GROUP BY file_no, probe_id"""
 SQL["block_count"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, count(DISTINCT block_no) AS blocks FROM cut GROUP BY file_no"
