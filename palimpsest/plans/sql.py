@@ -139,7 +139,7 @@ SELECT log_no, batch_no, group_no FROM walk""",
     "hist_merge": f"WITH {HIST} SELECT * FROM hist",
     "hist_summary": f"WITH {HIST} SELECT count(*) AS n, min(v) AS least, max(v) AS most, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v) // count(*) AS BIGINT) AS mean FROM sample",
     "hist_percentiles": f"""WITH {HIST}, run AS (SELECT bucket, lower, sum(cnt) OVER (ORDER BY bucket) AS cum FROM hist)
-SELECT p AS per_mille, min(lower) AS v FROM (VALUES (500), (900), (990), (999), (1000)) a(p) JOIN run ON cum >= p * (SELECT sum(cnt) FROM hist) // 1000 GROUP BY p""",
+SELECT CAST(p AS BIGINT) AS per_mille, min(lower) AS v FROM (VALUES (500), (900), (990), (999), (1000)) a(p) JOIN run ON cum >= p * (SELECT sum(cnt) FROM hist) // 1000 GROUP BY p""",
     "openloop_validity": """SELECT run, n, took_us, late, worst_us, n * 1000000 * 100 >= took_us * 99 AS valid FROM (SELECT run, count(*) AS n, max(done_us) AS took_us, count(*) FILTER (done_us - i * 1000000 > 1000000) AS late, max(done_us - i * 1000000) AS worst_us
       FROM (SELECT user_id % 4 AS run, event_id // 4 AS i, event_id // 4 * 1000000 + CAST(floor(value * 20000) AS BIGINT) AS done_us FROM events) GROUP BY run)""",
     "packed_tag": view("SELECT seq, type, (seq << 8) | type AS packed, ((seq << 8) | type) >> 8 AS seq_back, ((seq << 8) | type) & 255 AS type_back FROM mutation"),
@@ -164,7 +164,7 @@ SELECT p AS per_mille, min(lower) AS v FROM (VALUES (500), (900), (990), (999),
     "wal_replay_raw": view("SELECT log_no, seq, type, user_key, value FROM op JOIN good USING (batch_no)", BATCH),
     "backpressure": view("SELECT file_no, file_no % 16 + 1 AS tier0_files, CASE WHEN file_no % 16 + 1 >= 12 THEN 'stop' WHEN file_no % 16 + 1 >= 8 THEN 'slow' ELSE 'free' END AS writers FROM meta", ENTRY),
     "workload_fillseq": "SELECT t AS thread, i, t * 1000 + i AS n, printf('key%013d', t * 1000 + i) AS user_key FROM range(4) a(t), range(1000) b(i)",
-    "workload_readmissing": "SELECT t AS thread, 1000 AS missing FROM range(4) a(t)",
+    "workload_readmissing": "SELECT t AS thread, CAST(1000 AS BIGINT) AS missing FROM range(4) a(t)",
 }
 
 _SIZED = ENTRY + """,
