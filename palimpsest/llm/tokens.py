@@ -29,6 +29,15 @@ _RARE_SPACE = "[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\
 _DOUBLE_SPACE = "[ \\t\\n\\r][ \\t\\n\\r]|[\\t\\r]|[ \\n]$"
 
 
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[9, 10, 13]] = 32
+_SPACED_LOW = _SPACED.copy()
+_SPACED_LOW[65:91] += 32
+
+
+_TOGETHER = 384  # chunks in a text: larger ones take the library longer for each chunk
+
+
 class _Table:
     """Chunks of up to 15 bytes to places, by open addressing over their exact bytes; whole arrays at a time."""
 
@@ -112,17 +121,15 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, chunks: list[str], pretokens: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids and lengths of simple chunks by one call, or None if the marks don't add up."""
-        text = " ".join(chunks) if self.drops_space else "".join(chunks)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _divided(self, ids: np.ndarray, pretokens: np.ndarray) -> np.ndarray | None:
+        """Numbers of ids of simple chunks that were encoded as one text, or None if the marks don't add up."""
         if self.drops_space:
             marks = np.flatnonzero(self.ends[ids]) + 1
             if len(marks) != pretokens.sum():
                 return None
-            return ids, np.diff(np.concatenate([[0], marks[np.cumsum(pretokens) - 1]]))
+            return np.diff(np.concatenate([[0], marks[np.cumsum(pretokens) - 1]]))
         marks = np.flatnonzero(self.begins[ids])
-        return (ids, np.diff(np.append(marks, len(ids)))) if len(marks) == len(chunks) and marks[0] == 0 else None
+        return np.diff(np.append(marks, len(ids))) if len(marks) == len(pretokens) and marks[0] == 0 else None
 
     def _append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """New entries with these ids in a row; their places."""
@@ -150,12 +157,16 @@ class Encoder:
             else:
                 rest.append(i)
         pretokens = np.array(tails, np.int64)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            if got := self._together([chunks[i] for i in part], pretokens[at : at + 4096]):
-                out[part] = self._append(*got)
-            else:
+        groups = range(0, len(plain), _TOGETHER)
+        between = " " if self.drops_space else ""
+        texts = [between.join([chunks[i] for i in plain[at : at + _TOGETHER]]) for at in groups]
+        for at, ids in zip(groups, self._library(texts)):
+            part, ids = plain[at : at + _TOGETHER], np.array(ids, np.uint32)
+            sizes = self._divided(ids, pretokens[at : at + _TOGETHER])
+            if sizes is None:
                 rest += part
+            else:
+                out[part] = self._append(ids, sizes)
         if rest:
             split = [_PART.findall(chunks[i]) for i in rest]
             new = list(dict.fromkeys(p for parts in split for p in parts))
@@ -231,8 +242,10 @@ class Encoder:
         """Texts without rare white space and, where the vocabulary keeps white space, with single spaces and line
         feeds only, none at the end: each starts a chunk."""
         if self.drops_space:
-            for space in "\n\t\r":
-                texts = pc.replace_substring(texts, space, " ")
+            buf, off = binary_values(texts)
+            # The vocabulary is lower case. A special token's name in capitals must not become one, though.
+            special = bool(pc.any(pc.match_substring(texts, "<|")).as_py())
+            texts = text_array((_SPACED if special else _SPACED_LOW)[buf], off)
         else:
             texts = pc.replace_substring(texts, "\n", " \n")
         lists = pc.split_pattern(texts, " ")
