@@ -13,7 +13,7 @@ one, all within distance 2 of each other. Such a group needs no verification and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import chain
 
@@ -148,17 +148,20 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """The rows of docs that stay when each near-duplicate group keeps one document, the one of the smallest doc_id;
-    of repeated rows with that doc_id one stays. Columns as in docs. Rows with a null doc_id stay only if their
-    fingerprint has no other document."""
-    kept = materialize(
-        near_duplicates(docs, bucket_cap).where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept"
-    )
-    names = docs.columns
-    unnamed = docs.where(F.col("doc_id").isNull())
-    stay = docs.join(kept, "doc_id", "left_semi").select(*names)
-    return stay.dropDuplicates(["doc_id"]).union(unnamed.select(*names))
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs that stay when each near-duplicate group keeps exactly one row: the one of the smallest doc_id,
+    null ids last, then of the smallest text hash. Columns as in docs. groups gives (doc_id, component_id) of documents.
+
+    Rows are numbered in a stored table and grouped by that number, so that null ids link like any other and rows that
+    share a doc_id but not their texts are different documents."""
+    row = next(n for n in (f"_row{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    named = groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    doc_id = F.col("doc_id").cast("bigint")
+    rank = F.struct(doc_id.isNull(), doc_id, F.xxhash64("text"), F.col(row).alias("row"))
+    first = rows.select(row, rank.alias("rank")).join(named, row).groupBy("component_id").agg(F.min("rank").alias("rank"))
+    kept = materialize(first.select(F.col("rank.row").alias(row)), "simhash-kept")
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,10 @@ def test_null_ids_repeated_rows_and_empty_tables(make):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.where("doc_id is not null").collect())) == [5, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(make):
+    one, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, one), (None, one), (5, one), (5, other), (7, other), (None, "by null alone"), (None, "by null alone"), (5, None), (None, "")]
+    kept = simhash.keep_one(make(rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, one), (5, other), (None, "by null alone"), (5, None)], key=repr)
