@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode
@@ -573,13 +573,28 @@ def bloom_fpr(spark, d):
     return out
 
 
-@query
-def block_lookup(spark, d):
-    """The block of each file that an index search takes a key to: the first whose last key is not below it."""
+def _looked_up(spark, d, probes: DataFrame) -> DataFrame:
+    """(file_no, probe_id, block_no), by a merge of probes and separators in falling key order within each file."""
     p = _placed(spark, d)
     index = encode.separators(p.join(encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK), ["file_no", "pos"]))
-    few = c.probes(spark, d).where("probe_id < 20")
-    return index.join(F.broadcast(few), F.col("last_key") >= F.col("user_key")).groupBy("file_no", "probe_id").agg(F.min("block_no").alias("block_no"))
+    ends = index.select("file_no", F.col("last_key").alias("key"), F.lit(None).cast("bigint").alias("probe_id"), "block_no")
+    numbers = F.broadcast(_entries(spark, d).select("file_no").distinct())
+    asked = probes.crossJoin(numbers).select("file_no", F.col("user_key").alias("key"), F.col("probe_id").cast("bigint").alias("probe_id"), F.lit(None).cast("bigint").alias("block_no"))
+    found = F.min("block_no").over(Window.partitionBy("file_no").orderBy(F.col("key").desc()))
+    return ends.union(asked).withColumn("block_no", found).where("probe_id IS NOT NULL AND block_no IS NOT NULL").select("file_no", "probe_id", "block_no")
+
+
+@query
+def block_lookup(spark, d):
+    """The block of each file that an index search takes a key to: the first whose last key is not below it. The first
+    20 probes only, as in its SQL; block_lookup_all has every probe."""
+    return _looked_up(spark, d, c.probes(spark, d).where("probe_id < 20"))
+
+
+@query
+def block_lookup_all(spark, d):
+    """block_lookup for every probe."""
+    return _looked_up(spark, d, c.probes(spark, d))
 
 
 @query
