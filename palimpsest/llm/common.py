@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_open_scratch: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -41,16 +45,66 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path  # noqa: SLF001
+    if _open_scratch:
+        _open_scratch[-1].append(back)
     return back
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote; only for tables that no later plan reads."""
+    """Delete what materialize() wrote; only for tables that no later plan reads. Deleting twice does nothing."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)  # noqa: SLF001
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
 
 
+@contextmanager
+def scratch(*, keep: list[DataFrame]) -> Iterator[None]:
+    """Tables that materialize() writes inside are deleted at the end, but for those that have been added to keep."""
+    _open_scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _open_scratch.pop():
+            if not any(df is k for k in keep):
+                discard(df)
+            elif _open_scratch:
+                _open_scratch[-1].append(df)
+
+
+FILTER_WORDS = 1 << 18
+
+
+def sift(rows: DataFrame, some: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose bigint key may be in some, rows whose key is surely not), so that only the former need a shuffle.
+
+    A Bloom filter of at most FILTER_WORDS words of 63 bits, three bits a key, is joined to the rows as a broadcast of
+    that many rows at most. Its size does not grow with the data: where some has far more keys than it has bits, most
+    rows count as possible, which costs a shuffle and changes no result. Null keys are surely not in some.
+    """
+    hashed = F.xxhash64(key)
+    word = F.pmod(hashed, F.lit(FILTER_WORDS))
+    bits = [F.pmod(F.shiftrightunsigned(hashed, s), F.lit(63)).cast("int") for s in (20, 32, 44)]
+    mask = F.lit(0).cast("bigint")
+    for b in bits:
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))
+    words = some.where(F.col(key).isNotNull()).groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_mask"))
+    at, own, bits_of = unused("at", rows), unused("word", rows), unused("mask", rows)
+    marked = rows.withColumn(at, word).join(F.broadcast(words.toDF(own, bits_of)), F.col(at) == F.col(own), "left")
+    maybe = F.coalesce(F.col(bits_of).bitwiseAND(mask) == mask, F.lit(False)) & F.col(key).isNotNull()
+    return marked.where(maybe).select(*rows.columns), marked.where(~maybe).select(*rows.columns)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like name that df does not have; names differ in more than case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{name}{k}" for k in range(len(taken) + 1)) if n not in taken)
+
+
+def rows_a_task(df: DataFrame, rows: int, least: int = 1) -> int:
+    """How many partitions a shuffle of df needs for about so many rows in each."""
+    return max(least, -(-df.count() // rows))
+
+
 def fold_bucket(column: str | Column, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo modulus: the fold rule of the contracts. Null ids count as the text ''."""
     c = F.col(column) if isinstance(column, str) else column
@@ -110,42 +164,60 @@ def fitted(examples: DataFrame, fit) -> bytes:
     return bytes(row[0])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, passes: list[int] | None = None) -> DataFrame:
     """Components of an undirected graph given as bigint edges (u, v): one row (node, component) per node that has an
     edge to another node; component is the smallest node of its component.
 
-    Contraction: every node points to the smallest of itself and its neighbours, the pointers are doubled once, and the
-    edges are rewritten through them until none is left. The smallest node of a component never moves, so it names the
-    component. A pass at least halves the nodes of every component. Tables between the passes are written to the shared
-    folder, so all joins read plain exchanges, which adaptive execution can split when a component is very large.
+    Contraction: every node points to the smallest of itself and its neighbours; the pointers are followed to their
+    ends, five times as far at each step; and the edges are rewritten through them until none is left. The smallest
+    node of a component never moves, so it names the component. A node that stays has taken in a neighbour in this pass
+    or moves in the next one, so two passes at least halve the nodes, and a chain of n pointers needs log5(n) steps.
+    Tables between the steps are written to the shared folder, so all joins read plain exchanges, which adaptive
+    execution can split when a component is very large. passes, if given, receives the number of steps of each pass.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    edges = materialize(edges, "cc-edges")
-    levels: list[DataFrame] = []
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        point = materialize(near.select("node", F.least("node", "m").alias("parent")), "cc-near")
-        up = point.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jump = materialize(
-            point.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent")), "cc-jump"
-        )
-        discard(point)
-        levels.append(jump)
-        a = jump.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        b = jump.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        left = edges.join(a, "u").join(b, "v")
-        left = left.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).where("u > v").distinct()
-        rest = materialize(left, "cc-edges")
-        discard(edges)
-        edges = rest
-    discard(edges)
-    if not levels:
-        return edges.sparkSession.createDataFrame([], "node bigint, component bigint")
-    label = levels[0].select("node", F.col("parent").alias("component"))
-    for k, level in enumerate(levels[1:]):
-        up = level.select(F.col("node").alias("component"), F.col("parent").alias("above"))
-        label = label.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
-        if k % 3 == 2:
+    columns = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+    keep: list[DataFrame] = []
+    with scratch(keep=keep):
+        edges = materialize(edges.select(*columns).where("u > v").distinct(), "cc-edges")
+        levels: list[DataFrame] = []
+        while not edges.isEmpty():
+            both = edges.select("u", "v").union(edges.select("v", "u"))
+            near = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+            point = materialize(near.select("node", F.least("node", "m").alias("parent")), "cc-near")
+            steps, moved = 0, True
+            while moved:
+                far = point
+                for _ in range(4):
+                    far = _followed(far, point)
+                jumped = materialize(far.select("node", "parent", (F.col("parent") != F.col("before")).alias("moved")), "cc-jump")
+                steps += 1
+                moved = not jumped.where("moved").isEmpty()
+                discard(point)
+                point = jumped.drop("moved")
+                point._stored_at = jumped._stored_at  # noqa: SLF001
+            if passes is not None:
+                passes.append(steps)
+            levels.append(point)
+            a = point.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
+            b = point.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
+            crossing = edges.join(a, "u").join(b, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+            rest = materialize(crossing.select(*columns).where("u > v").distinct(), "cc-edges")
+            discard(edges)
+            edges = rest
+        if not levels:
+            return edges.sparkSession.createDataFrame([], "node bigint, component bigint")
+        label = levels[0].select("node", F.col("parent").alias("component"))
+        for level in levels[1:]:
+            up = level.select(F.col("node").alias("component"), F.col("parent").alias("above"))
+            label = label.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+            label = materialize(label, "cc-label")
+        if len(levels) == 1:
             label = materialize(label, "cc-label")
-    return materialize(label, "cc-label")
+        keep.append(label)
+    return label
+
+
+def _followed(start: DataFrame, step: DataFrame) -> DataFrame:
+    """Pointers (node, parent) of start, each followed once more through step; before is where it led until then."""
+    on = step.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+    return start.select("node", "parent").join(on, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("parent").alias("before"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, sliced, table
+from .common import connected_components, materialize, scratch, sift, sliced, table, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -140,11 +140,14 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     null doc_id gets its fingerprint's component, but a fingerprint that only null ids have links with nothing and has
     a null component. An empty table gives an empty result; other columns of docs are ignored.
     """
-    prints = materialize(with_fingerprints(docs), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    labels = connected_components(links(distinct.where(F.col("rep").isNotNull()), bucket_cap))
-    named = distinct.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = materialize(named.select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-named")
+    keep: list[DataFrame] = []
+    with scratch(keep=keep):
+        prints = materialize(with_fingerprints(docs), "simhash-prints")
+        distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+        labels = connected_components(links(distinct.where(F.col("rep").isNotNull()), bucket_cap))
+        named = distinct.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        named = materialize(named.select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-named")
+        keep += [prints, named]
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -153,15 +156,23 @@ def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_du
     null ids last, then of the smallest text hash. Columns as in docs. groups gives (doc_id, component_id) of documents.
 
     Rows are numbered in a stored table and grouped by that number, so that null ids link like any other and rows that
-    share a doc_id but not their texts are different documents."""
-    row = next(n for n in (f"_row{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    named = groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
-    doc_id = F.col("doc_id").cast("bigint")
-    rank = F.struct(doc_id.isNull(), doc_id, F.xxhash64("text"), F.col(row).alias("row"))
-    first = rows.select(row, rank.alias("rank")).join(named, row).groupBy("component_id").agg(F.min("rank").alias("rank"))
-    kept = materialize(first.select(F.col("rank.row").alias(row)), "simhash-kept")
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    share a doc_id but not their texts are different documents. Null, empty and long texts follow groups; an empty table
+    gives an empty result; column names of docs cannot clash. Only rows that may have to go are shuffled with their texts."""
+    row = unused("row", docs)
+    keep: list[DataFrame] = []
+    with scratch(keep=keep):
+        rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+        named = groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+        doc_id = F.col("doc_id").cast("bigint")
+        rank = F.struct(doc_id.isNull(), doc_id, F.xxhash64("text"), F.col(row).alias("row")).alias("rank")
+        ranks = materialize(rows.select(row, rank).join(named, row).select(row, "component_id", "rank"), "simhash-ranks")
+        first = ranks.groupBy("component_id").agg(F.count("*").alias("members"), F.min("rank").alias("rank"))
+        shared = first.where("members > 1").select("component_id", F.col("rank.row").alias("stays"))
+        lost = ranks.select(row, "component_id").join(shared, "component_id").where(F.col(row) != F.col("stays")).select(row)
+        lost = materialize(lost, "simhash-lost")
+        keep += [rows, lost]
+    perhaps, others = sift(rows, lost, row)
+    return others.union(perhaps.join(lost, row, "left_anti").select(*rows.columns)).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
-from palimpsest.llm import mixing, quality, simhash, toxicity
+from palimpsest.llm import mixing, quality, toxicity
 from palimpsest.llm.common import materialize, table
 from palimpsest.llm.tokens import ids_from, tokenizer_path
 
+from test_shingles import plain_groups
+
 
 def test_stages(spark, data):
     docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
@@ -20,9 +22,10 @@ def test_stages(spark, data):
     predicted = {r.doc_id: r.predicted for r in toxicity.toxicity(good, docs, labels).collect()}
     clean = materialize(steps["toxicity"](spark, good, data), "t")
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, p in predicted.items() if not p)
-    groups = {r.component_id for r in simhash.near_duplicates(clean).collect()}
+    rows = sorted((r.doc_id, r.text) for r in clean.collect())
+    firsts = {rows[i][0] for i in plain_groups([t for _, t in rows]).values()}
     unique = materialize(steps["near_duplicates"](spark, clean, data), "t")
-    assert sorted(r.doc_id for r in unique.collect()) == sorted(groups)
+    assert sorted(r.doc_id for r in unique.collect()) == sorted(firsts)
     mixed = materialize(steps["mixing"](spark, unique, data), "t")
     assert good.columns == clean.columns == unique.columns == mixed.columns == names
     want = {r.doc_id: r.copies for r in mixing.mix(unique).collect() if r.copies}

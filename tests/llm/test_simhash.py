@@ -77,3 +77,23 @@ def test_one_row_of_each_group_stays_whatever_its_id(make):
     rows = [(None, one), (None, one), (5, one), (5, other), (7, other), (None, "by null alone"), (None, "by null alone"), (5, None), (None, "")]
     kept = simhash.keep_one(make(rows))
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, one), (5, other), (None, "by null alone"), (5, None)], key=repr)
+
+
+def test_passes_over_long_paths_stars_grids_and_cliques(spark):
+    rng = random.Random(9)
+    n = 10_000
+    path = [(i, i + 1) for i in range(n - 1)]
+    shuffled = rng.sample(range(n), n)
+    graphs = {
+        "path in id order": path,
+        "path in any order": [(shuffled[a], shuffled[b]) for a, b in path],
+        "star around its largest": [(n, i) for i in range(3000)],
+        "grid": [(60 * r + c, 60 * r + c + d) for r in range(60) for c in range(60) for d in (1, 60) if (c < 59 or d == 60) and (r < 59 or d == 1)],
+        "clique and a tail": [(a, b) for a in range(40) for b in range(a)] + [(i, i + 1) for i in range(39, 300)],
+    }
+    for name, edges in graphs.items():
+        passes = []
+        got = simhash.connected_components(spark.createDataFrame(edges, "u bigint, v bigint"), passes).collect()
+        assert {r.component for r in got} == {0} and len(got) == len({x for e in edges for x in e}), name
+        assert sum(passes) <= 15, (name, passes)
+        print(name, passes)
