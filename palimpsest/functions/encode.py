@@ -148,25 +148,55 @@ def bloom_words(keys: DataFrame, bits: int, k: int) -> DataFrame:
     return at.groupBy(F.floor(F.col("p") / 63).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 63).cast("int"))).alias("mask"))
 
 
+BROADCAST_BITS = 1 << 29
+
+
 def may_contain(probes: DataFrame, words: DataFrame, bits: int, k: int) -> DataFrame:
-    """probes (key) with maybe: false only for keys that were not added. Filters over 64 to 2**40 bits."""
+    """probes (key) with maybe: false only for keys that were not added. Filters over 64 to 2**40 bits.
+
+    A filter of at most BROADCAST_BITS bits (64 MB) is sent whole and every probe is tested in place, in the pass that
+    hashes it; a larger one is joined by word. A filter that is no filter (fewer than two bytes, or a number of probes
+    outside 1 to 30) excludes nothing.
+    """
+    if bits < 16 or not LEAST_PROBES <= k <= MOST_PROBES:
+        return probes.select("key", F.lit(True).alias("maybe"))
+    if bits <= BROADCAST_BITS:
+        held = np.zeros(-(-bits // 63), np.int64)
+        got = words.toPandas()
+        held[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
+        sent = probes.sparkSession.sparkContext.broadcast(held)
+
+        def test(values: pd.Series) -> pd.Series:
+            filter_words, h = sent.value, hash64_of(values)
+            low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+            maybe = np.ones(len(h), bool)
+            for i in range(k):
+                at = ((low + np.uint64(i) * high) % np.uint64(bits)).astype(np.int64)
+                maybe &= (filter_words[at // 63] >> (at % 63)) & 1 == 1
+            return pd.Series(maybe)
+
+        test.__annotations__ = {"values": pd.Series, "return": pd.Series}
+        return probes.select("key", F.pandas_udf(test, "boolean")(F.col("key")).alias("maybe"))
     hashed = probes.select("key", hash64(F.col("key")).alias("h"))
     at = hashed.select("key", F.explode(probe_positions(F.col("h"), bits, k)).alias("p")).withColumn("word", F.floor(F.col("p") / 63))
     hit = F.coalesce(F.call_function("shiftright", F.col("mask"), (F.col("p") % 63).cast("int")).bitwiseAND(F.lit(1)), F.lit(0))
     return at.join(words, "word", "left").groupBy("key").agg((F.min(hit) == 1).alias("maybe"))
 
 
-def shared_prefix(before: Column, text: Column) -> Column:
-    """Length of the common prefix of two ASCII strings."""
-    n = F.least(F.length(before), F.length(text))
-    matches = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.call_function("substring", before, F.lit(1), i) == F.call_function("substring", text, F.lit(1), i)))
-    return F.size(matches).cast("bigint")
+def shared_prefix(before: Column, key: Column) -> Column:
+    """Bytes of the common prefix of two keys, text or binary: the place of the first byte that differs."""
+    a, b = before.cast("binary"), key.cast("binary")
+    n = F.least(F.length(a), F.length(b))
+    byte = lambda x, i: F.call_function("substring", x, i, F.lit(1))
+    differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (byte(a, i) != byte(b, i)))
+    return F.coalesce(F.get(differs, F.lit(0)) - 1, n).cast("bigint")
 
 
 def in_file_order(entries: DataFrame) -> DataFrame:
     """Entries with pos, their place in the file (key up, sequence down), and the key before."""
     w = Window.partitionBy("file_no").orderBy("user_key", F.col("seq").desc())
-    return entries.withColumn("pos", F.row_number().over(w).cast("bigint") - 1).withColumn("before", F.lag("user_key", 1, "").over(w))
+    nothing = F.lit(b"" if entries.schema["user_key"].dataType.simpleString() == "binary" else "")
+    return entries.withColumn("pos", F.row_number().over(w).cast("bigint") - 1).withColumn("before", F.coalesce(F.lag("user_key").over(w), nothing))
 
 
 def cut_blocks(sized: DataFrame, block_size: int) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
-from ..schemas import DELETION, MAX_SEQ, VALUE
-from ..sources.storage import stored
-from .files import file_stats
+from ..schemas import DELETION, VALUE
+from ..sources.storage import Folder, new_path
+from .files import covering, file_stats, write_run
 from .read import newest
 
 
@@ -21,22 +22,21 @@ class Pick:
     inputs: tuple[int, ...]
 
 
-def choose(meta: DataFrame, o: Options = DEFAULT) -> Pick | None:
-    """The next compaction: the shallowest tier with tier_trigger files, its oldest that many by number. At the last
-    tier the whole deepest tier is merged into itself. Metadata has a row for each file, of which the driver sees those
-    of two tiers."""
-    full = meta.groupBy("tier").count().where(F.col("count") >= o.tier_trigger).agg(F.min("tier")).first()[0]
+def choose(files: Iterable[tuple[int, int]], o: Options = DEFAULT) -> Pick | None:
+    """The next compaction of files (tier, file_no): the shallowest tier with tier_trigger files, its oldest that many by
+    number. At the last tier the whole deepest tier is merged into itself."""
+    tiers: dict[int, list[int]] = {}
+    for tier, number in files:
+        tiers.setdefault(tier, []).append(number)
+    full = min((t for t, numbers in tiers.items() if len(numbers) >= o.tier_trigger), default=None)
     if full is None:
         return None
-    files = sorted(r["file_no"] for r in meta.where(F.col("tier") == full).select("file_no").collect())
+    oldest = sorted(tiers[full])
     out = full + 1
-    inputs = files[: o.tier_trigger]
+    inputs = oldest[: o.tier_trigger]
     if out >= o.max_tiers:
         out = o.max_tiers - 1
-        if out == full:
-            inputs = files
-        else:
-            inputs += sorted(r["file_no"] for r in meta.where(F.col("tier") == out).select("file_no").collect())
+        inputs = oldest if out == full else inputs + sorted(tiers.get(out, []))
     return Pick(full, out, tuple(inputs))
 
 
@@ -61,18 +61,17 @@ def judged(inputs: DataFrame, others: DataFrame, oldest: int | Column) -> DataFr
     """Input entries with their fate: superseded (a newer input version is visible to every snapshot), tombstone (a
     deletion no snapshot needs, over keys that no other file from the output tier down can hold) or kept.
 
-    The newer version counts whether or not it is itself dropped. others: (smallest, largest) of those other files.
+    The newer version counts whether or not it is itself dropped. So what matters of a key is its newest version up to
+    the oldest snapshot: all before it are superseded, and it is the only deletion that may go. That is one aggregate, in
+    which a key of many versions is combined before the shuffle. others: (smallest, largest) of those other files.
     """
-    w = Window.partitionBy("user_key").orderBy(F.col("seq").desc())
-    newer = F.coalesce(F.lag("seq").over(w), F.lit(MAX_SEQ))
-    marked = inputs.withColumn("newer", newer)
-    shadow = F.broadcast(others.select("smallest", "largest"))
-    dead = (F.col("type") == DELETION) & (F.col("seq") <= oldest) & (F.col("newer") > oldest)
-    candidates = marked.where(dead).select("user_key").distinct()
-    blocked = candidates.join(shadow, F.col("user_key").between(F.col("smallest"), F.col("largest")), "left_semi").withColumn("blocked", F.lit(True))
-    both = marked.join(blocked, "user_key", "left")
-    fate = F.when(F.col("newer") <= oldest, "superseded").when(dead & F.col("blocked").isNull(), "tombstone").otherwise("kept")
-    return both.withColumn("fate", fate).drop("newer", "blocked")
+    seen = F.col("seq") <= oldest
+    tops = inputs.where(seen).groupBy("user_key").agg(F.max("seq").alias("top"), F.max_by("type", "seq").alias("top_type"))
+    dead = tops.where(F.col("top_type") == DELETION).select(F.col("user_key").alias("key"))
+    free = covering(dead, others, "holding").where("holding = 0").select(F.col("key").alias("user_key"), F.lit(True).alias("free"))
+    both = inputs.join(tops.join(free, "user_key", "left"), "user_key", "left")
+    fate = F.when(F.col("seq") < F.col("top"), "superseded").when((F.col("seq") == F.col("top")) & F.col("free"), "tombstone").otherwise("kept")
+    return both.withColumn("fate", fate).drop("top", "top_type", "free")
 
 
 def merged(inputs: DataFrame, others: DataFrame, oldest: int | Column) -> DataFrame:
@@ -80,27 +79,59 @@ def merged(inputs: DataFrame, others: DataFrame, oldest: int | Column) -> DataFr
     return judged(inputs, others, oldest).where("fate = 'kept'").drop("fate")
 
 
-def compact_once(entries: DataFrame, oldest: int, o: Options = DEFAULT) -> tuple[DataFrame, Pick] | None:
-    """entries with the next compaction's inputs replaced by its output file, or None if no tier is full."""
-    meta = file_stats(entries)
-    pick = choose(meta, o)
-    if pick is None:
-        return None
-    mine = F.col("file_no").isin(*pick.inputs)
-    number = entries.agg(F.max("file_no")).first()[0] + 1
-    others = meta.where((F.col("tier") >= pick.output_tier) & ~mine)
-    out = merged(entries.where(mine).drop("file_no", "tier"), others, oldest)
-    out = out.withColumns({"file_no": F.lit(number).cast("bigint"), "tier": F.lit(pick.output_tier)})
-    return entries.where(~mine).unionByName(out), pick
+def run_once(
+    live: dict[int, dict], pick: Pick, number: int, path: str, oldest: int, read: Callable[[Iterable[int]], DataFrame], o: Options = DEFAULT
+) -> dict | None:
+    """Merge the picked files into one run at path; only they are read and only it is written. Returns its metadata, or
+    None if nothing is left. live: metadata by file number."""
+    mine = read(pick.inputs)
+    spark = mine.sparkSession
+    ends = [(m["smallest"], m["largest"]) for n, m in live.items() if m["tier"] >= pick.output_tier and n not in pick.inputs]
+    key = mine.schema["user_key"].dataType.simpleString()
+    others = spark.createDataFrame(ends, f"smallest {key}, largest {key}")
+    write_run(merged(mine, others, oldest), path, o.bloom_bits_per_key)
+    return run_stats(spark.read.schema(mine.schema).parquet(path), number, pick.output_tier)
+
+
+def run_stats(run: DataFrame, number: int, tier: int) -> dict | None:
+    """Metadata of one run, or None for an empty one."""
+    row = file_stats(run.select("*", F.lit(number).cast("bigint").alias("file_no"), F.lit(tier).alias("tier"))).first()
+    return row.asDict() if row else None
 
 
 def compact_all(entries: DataFrame, oldest: int, o: Options = DEFAULT) -> DataFrame:
-    """Compact until no tier is full. Each step's result is stored, as the next step's choice depends on it."""
-    while done := compact_once(entries, oldest, o):
-        entries = stored(done[0], "compacted")
-        if done[1].input_tier == done[1].output_tier == o.max_tiers - 1:
+    """Compact until no tier is full. The files are written apart once; each step then reads its inputs and writes its
+    output, and only metadata, a row for each file, is held by the driver."""
+    spark = entries.sparkSession
+    live = {r["file_no"]: r.asDict() for r in file_stats(entries).collect()}
+    if not live:
+        return entries
+    plain = entries.drop("file_no", "tier")
+    folder = Folder(spark, new_path(spark, "compacted"))
+    entries.drop("tier").repartition("file_no").write.partitionBy("file_no").parquet(folder.path)
+    number = max(live)
+    paths = {n: f"{folder.path}/file_no={n}" for n in live}
+    read = lambda numbers: spark.read.schema(plain.schema).parquet(*(paths[n] for n in numbers))
+    while pick := choose(((m["tier"], n) for n, m in live.items()), o):
+        number += 1
+        made = run_once(live, pick, number, f"{folder.path}/file_no={number}", oldest, read, o)
+        for n in pick.inputs:
+            del live[n]
+        if made:
+            live[number], paths[number] = made, f"{folder.path}/file_no={number}"
+        if pick.input_tier == pick.output_tier == o.max_tiers - 1:
             break  # the deepest tier is one file now, and nothing above it is full
-    return entries
+    if not live:
+        return entries.limit(0)
+    return with_files(read(live), {n: m["tier"] for n, m in live.items()}, r"file_no=([0-9]+)")
+
+
+def with_files(runs: DataFrame, tiers: dict[int, int], pattern: str) -> DataFrame:
+    """Adds file_no, from the path each row was read from, and the file's tier."""
+    number = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("bigint")
+    rows = runs.select("*", number.alias("file_no"))
+    known = runs.sparkSession.createDataFrame(list(tiers.items()), "file_no bigint, tier int")
+    return rows.join(known, "file_no").select(*runs.columns, "file_no", "tier")
 
 
 def space(entries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
 from ..schemas import DELETION
+from .ordered import running_total
 
 
 def entry_bytes() -> Column:
@@ -29,40 +30,69 @@ def tier_summary(meta: DataFrame, o: Options = DEFAULT) -> DataFrame:
     return tiers.join(sums, "tier", "left").na.fill(0, ["files", "bytes", "entries"])
 
 
-def _files_beside(rows: DataFrame, meta: DataFrame, hit: Column, o: Options) -> DataFrame:
-    small = meta.limit(o.broadcast_files + 1).count() <= o.broadcast_files
-    return rows.join(F.broadcast(meta) if small else meta.hint("shuffle_replicate_nl"), hit)
-
-
-def overlapping(meta: DataFrame, o: Options = DEFAULT) -> DataFrame:
-    """Pairs of files whose key ranges overlap."""
-    a = meta.select(F.col("file_no").alias("a_file"), F.col("smallest").alias("a_first"), F.col("largest").alias("a_last"))
+def covering(points: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
+    """points (key, ...) with name, the number of ranges (smallest, largest) that hold key.
+
+    A range holds a key if it has begun and not ended there, so the number is a running total over keys, beginnings and
+    ends in one order: linear in both, and no pair of a key and a range is ever made.
+    """
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema if f.name != "key"]
+    rest = [F.col(c) for c in points.columns if c != "key"]
+    one = F.lit(1).cast("bigint")
+    asked = points.select("key", F.lit(1).alias("__turn"), (one - 1).alias("__more"), *rest)
+    begun = ranges.select(F.col("smallest").alias("key"), F.lit(0).alias("__turn"), one.alias("__more"), *none)
+    ended = ranges.select(F.col("largest").alias("key"), F.lit(2).alias("__turn"), (-one).alias("__more"), *none)
+    spread = F.xxhash64(*(rest or [F.lit(0)]))
+    summed = running_total(asked.union(begun).union(ended), "__more", name, "key", "__turn", spread)
+    return summed.where("__turn = 1").select(*points.columns, name)
+
+
+def overlaps(meta: DataFrame) -> DataFrame:
+    """(file_no, overlaps): how many other files' key ranges overlap each file's. Files that begin at or before its end,
+    less those that end before its beginning, less itself: counts over two orders, not pairs of files."""
+    both = meta.select("file_no", F.explode(F.array(F.struct(F.col("largest").alias("key"), F.lit(True).alias("upto")), F.struct(F.col("smallest").alias("key"), F.lit(False).alias("upto")))).alias("e"))
+    own = both.select(F.col("e.key").alias("key"), F.lit(1).alias("turn"), "file_no", F.col("e.upto").alias("upto"), F.lit(0).cast("bigint").alias("begun"), F.lit(0).cast("bigint").alias("ended"))
+    # At equal keys: beginnings, then the questions, then ends, so that an end counts only as one before the key.
+    mark = lambda key, turn, begun: meta.select(F.col(key).alias("key"), F.lit(turn).alias("turn"), "file_no", F.lit(None).cast("boolean").alias("upto"), F.lit(begun).cast("bigint").alias("begun"), F.lit(1 - begun).cast("bigint").alias("ended"))
+    line = own.union(mark("smallest", 0, 1)).union(mark("largest", 2, 0))
+    line = running_total(line, "begun", "begun_before", "key", "turn", "file_no")
+    line = running_total(line, "ended", "ended_before", "key", "turn", "file_no").where("turn = 1")
+    at = line.groupBy("file_no").agg(F.max(F.when(F.col("upto"), F.col("begun_before"))).alias("begun"), F.max(F.when(~F.col("upto"), F.col("ended_before"))).alias("ended"))
+    return at.select("file_no", (F.col("begun") - F.col("ended") - 1).alias("overlaps"))
+
+
+def overlapping(inputs: DataFrame, meta: DataFrame, o: Options = DEFAULT) -> DataFrame:
+    """Pairs of an input file and another file whose key ranges overlap. The inputs are those of a compaction, a stated
+    and bounded set; more of them than may be broadcast are refused."""
+    if inputs.limit(o.broadcast_files + 1).count() > o.broadcast_files:
+        raise ValueError("too many input files: ask for overlaps()")
+    a = inputs.select(F.col("file_no").alias("a_file"), F.col("smallest").alias("a_first"), F.col("largest").alias("a_last"))
     b = meta.select(F.col("file_no").alias("b_file"), F.col("smallest").alias("b_first"), F.col("largest").alias("b_last"))
-    hit = (F.col("a_file") < F.col("b_file")) & (F.col("a_first") <= F.col("b_last")) & (F.col("b_first") <= F.col("a_last"))
-    return _files_beside(a, b, hit, o).select("a_file", "b_file")
+    hit = (F.col("a_file") != F.col("b_file")) & (F.col("a_first") <= F.col("b_last")) & (F.col("b_first") <= F.col("a_last"))
+    return b.join(F.broadcast(a), hit).select("a_file", "b_file")
 
 
-def consulted(probes: DataFrame, meta: DataFrame, o: Options = DEFAULT) -> DataFrame:
+def consulted(probes: DataFrame, meta: DataFrame) -> DataFrame:
     """(probe_id, user_key, files): how many files a lookup has to consider by key range."""
-    hit = F.col("user_key").between(F.col("smallest"), F.col("largest"))
-    counts = _files_beside(probes, meta.select("smallest", "largest"), hit, o).groupBy("probe_id").agg(F.count("*").alias("files"))
-    return probes.join(counts, "probe_id", "left").select("probe_id", "user_key", F.coalesce("files", F.lit(0)).cast("bigint").alias("files"))
+    keys = probes.select(F.col("user_key").alias("key"), "probe_id")
+    return covering(keys, meta, "files").select("probe_id", F.col("key").alias("user_key"), "files")
 
 
 def first_hit(entries: DataFrame, snap: int | Column | None = None) -> DataFrame:
     """The version that a search finds which goes from the shallowest tier down and from the newest file back. It is the
-    newest one only while every compaction moves the oldest files down."""
-    w = Window.partitionBy("user_key").orderBy("tier", F.col("file_no").desc(), F.col("seq").desc())
+    newest one only while every compaction moves the oldest files down. One partial and one final aggregate."""
     seen = entries if snap is None else entries.where(F.col("seq") <= snap)
-    return seen.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_key", "tier", "file_no", "seq", "type")
+    best = F.min_by(F.struct("tier", "file_no", "seq", "type"), F.struct("tier", -F.col("file_no"), -F.col("seq"))).alias("v")
+    return seen.groupBy("user_key").agg(best).select("user_key", "v.tier", "v.file_no", "v.seq", "v.type")
 
 
-def order_violations(entries: DataFrame) -> DataFrame:
-    """(file_no, violations): neighbours in file order (key up, sequence down) that are not strictly ascending."""
-    w = Window.partitionBy("file_no").orderBy("user_key", F.col("seq").desc())
+def order_violations(placed: DataFrame) -> DataFrame:
+    """(file_no, violations): neighbours in a file (by pos, their place in it) that are not strictly ascending: key up,
+    sequence down."""
+    w = Window.partitionBy("file_no").orderBy("pos")
     k, s = F.lag("user_key").over(w), F.lag("seq").over(w)
     bad = (k > F.col("user_key")) | ((k == F.col("user_key")) & (s <= F.col("seq")))
-    return entries.select("file_no", F.coalesce(bad, F.lit(False)).alias("bad")).groupBy("file_no").agg(F.count_if("bad").alias("violations"))
+    return placed.select("file_no", F.coalesce(bad, F.lit(False)).alias("bad")).groupBy("file_no").agg(F.count_if("bad").alias("violations"))
 
 
 def dump_totals(entries: DataFrame) -> DataFrame:

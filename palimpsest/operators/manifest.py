@@ -42,13 +42,13 @@ def file_name(kind: Column, number: Column) -> Column:
 
 
 def obsolete(listed: DataFrame, live: DataFrame, min_log: int | Column, manifest_no: int | Column) -> DataFrame:
-    """Listed names (name) that may go: files no version has, logs below the oldest needed, other manifests, all temporary
-    files. Strangers are never touched."""
+    """Listed names (name) that may go: files no version has, logs below the oldest needed, manifests older than the
+    current one, all temporary files. Strangers are never touched."""
     parsed = parse_names(listed).where("kind is not null")
     known = parsed.join(live.select(F.col("file_no").alias("number"), F.lit(True).alias("is_live")).distinct(), "number", "left")
     keep = (
         F.when(F.col("kind") == "sst", F.col("is_live").isNotNull()).when(F.col("kind") == "log", F.col("number") >= min_log)
-        .when(F.col("kind") == "MANIFEST", F.col("number") == manifest_no).when(F.col("kind") == "tmp", False).otherwise(True)
+        .when(F.col("kind") == "MANIFEST", F.col("number") >= manifest_no).when(F.col("kind") == "tmp", False).otherwise(True)
     )
     return known.where(~keep).select("name", "kind", "number")
 

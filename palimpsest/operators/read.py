@@ -3,13 +3,11 @@ the scan; the deletion test stands above it, as a deleted key must not fall back
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..schemas import VALUE
-
-BROADCAST_TARGETS = 10_000
+from . import ordered
 
 
 def _bounded(m: DataFrame, snap: int | Column | None) -> DataFrame:
@@ -47,14 +45,14 @@ def multi_get(m: DataFrame, probes: DataFrame, snap: int | Column | None = None)
 def as_of(m: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (probe_id, user_key, snap) with the newest version at each probe's own snapshot.
 
-    Versions and probes are merged in key order and the last version is carried forward, so the work is linear in both;
-    a join on the key would make a row for every version below every probe.
+    Versions and probes are merged in one order of key and sequence number and the last version is carried forward, so
+    the work is linear in both and a hot key may lie in many tasks; a join on the key would make a row for every version
+    below every probe.
     """
     versions = m.select("user_key", F.col("seq").alias("at"), F.lit(0).alias("is_probe"), F.lit(None).cast("bigint").alias("probe_id"), F.struct("seq", "type", "value").alias("v"))
-    asked = probes.select("user_key", F.col("snap").alias("at"), F.lit(1).alias("is_probe"), "probe_id", F.lit(None).cast(versions.schema["v"].dataType).alias("v"))
-    order = Window.partitionBy("user_key").orderBy("at", "is_probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = versions.unionByName(asked).withColumn("v", F.last("v", ignorenulls=True).over(order)).where("is_probe = 1")
-    return found.select("probe_id", "user_key", F.col("at").alias("snap"), "v.seq", outcome(F.col("v.seq"), F.col("v.type")).alias("outcome"), F.when(F.col("v.type") == VALUE, F.col("v.value")).alias("value"))
+    asked = probes.select("user_key", F.col("snap").cast("bigint").alias("at"), F.lit(1).alias("is_probe"), F.col("probe_id").cast("bigint").alias("probe_id"), F.lit(None).cast(versions.schema["v"].dataType).alias("v"))
+    found = ordered.carried(versions.unionByName(asked), "user_key", "v", "at", "is_probe", "probe_id").where("is_probe = 1")
+    return found.select(F.col("probe_id").cast(probes.schema["probe_id"].dataType).alias("probe_id"), "user_key", F.col("at").alias("snap"), "v.seq", outcome(F.col("v.seq"), F.col("v.type")).alias("outcome"), F.when(F.col("v.type") == VALUE, F.col("v.value")).alias("value"))
 
 
 def range_scan(m: DataFrame, first: str, last: str, snap: int | Column | None = None) -> DataFrame:
@@ -84,55 +82,50 @@ def prev(m: DataFrame, target: str, snap: int | Column | None = None) -> DataFra
 
 
 def seek_all(view: DataFrame, targets: DataFrame, backwards: bool = False) -> DataFrame:
-    """targets (target) with found_key, the first live key at or after it, or backwards the last before it.
+    """targets (target) with found_key, the first live key at or after it, or backwards the last before it. Keys and
+    targets are merged in one order, in which the last key seen is the answer."""
+    key_type = view.schema["user_key"].dataType
+    keys = view.select(F.col("user_key").alias("k"), F.lit(1 if backwards else 0).alias("turn"), F.col("user_key").alias("found_key"))
+    asked = targets.select("target").distinct().select(F.col("target").alias("k"), F.lit(0 if backwards else 1).alias("turn"), F.lit(None).cast(key_type).alias("found_key"))
+    way = F.col("k") if backwards else F.col("k").desc()
+    merged = keys.union(asked).withColumn("target", F.when(F.col("turn") == (0 if backwards else 1), F.col("k")))
+    return ordered.carried(merged, None, "found_key", way, "turn").where("target is not null").select("target", "found_key")
 
-    Up to BROADCAST_TARGETS different targets go to every task; more are merged with the keys in range-sorted order.
-    """
-    wanted = targets.select("target").distinct()
-    keys = view.select("user_key")
-    if wanted.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
-        small = F.broadcast(wanted)
-        hit = F.col("user_key") < F.col("target") if backwards else F.col("user_key") >= F.col("target")
-        best = F.max("user_key") if backwards else F.min("user_key")
-        found = keys.join(small, hit).groupBy("target").agg(best.alias("found_key"))
-        return wanted.join(found, "target", "left")
-    both = keys.select(F.col("user_key").alias("k"), F.lit(not backwards).alias("after"), "user_key").unionByName(
-        wanted.select(F.col("target").alias("k"), F.lit(backwards).alias("after"), F.lit(None).cast("string").alias("user_key"))
-    )
-    order = [F.col("k").desc() if not backwards else F.col("k"), F.col("after").desc()]
-    ordered = both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
-    best = F.max("user_key") if backwards else F.min("user_key")
-    ends = {r["part"]: r["k"] for r in ordered.groupBy("part").agg(best.alias("k")).collect()}
-    carried, last = [], None
-    for part in sorted(ends):
-        carried.append((part, last))
-        last = ends[part] or last
-    before = F.broadcast(view.sparkSession.createDataFrame(carried, "part int, carried string"))
-    run = F.last("user_key", ignorenulls=True).over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return ordered.withColumn("run", run).where("user_key is null").join(before, "part").select(F.col("k").alias("target"), F.coalesce("run", "carried").alias("found_key"))
-
-
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """Adds rank, the 1-based place in a total order. Rows are range-sorted; only a count for each partition goes to the
-    driver, so no single task sees all rows."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist(StorageLevel.MEMORY_AND_DISK)
-    before, at = [], 0
-    for r in sorted(ordered.groupBy("__part").count().collect()):
-        before.append((r["__part"], at))
-        at += r["count"]
-    starts = F.broadcast(df.sparkSession.createDataFrame(before, "__part int, __start bigint"))
-    return ordered.join(starts, "__part").withColumn("rank", F.col("__start") + F.col("__at") + 1).drop("__part", "__at", "__start")
+
+def seek_next(view: DataFrame, targets: DataFrame, n: int) -> DataFrame:
+    """(target, step, user_key, value): the first n live keys at or after each target, step counted from 0."""
+    placed = ordered.ranked(view, "user_key")
+    from_key = seek_all(placed, targets).where("found_key is not null")
+    start = from_key.join(placed.select(F.col("user_key").alias("found_key"), "rank"), "found_key")
+    steps = start.select("target", "rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("step"))
+    return steps.withColumn("rank", F.col("rank") + F.col("step")).join(placed, "rank").select("target", "step", "user_key", "value")
+
+
+def ordered_scan(m: DataFrame, snap: int | Column | None = None) -> DataFrame:
+    """The scan with each row's place in key order."""
+    return ordered.ranked(scan(m, snap), "user_key")
+
+
+def internal_order(m: DataFrame) -> DataFrame:
+    """Every version with its place in the order of a sorted run: key up, newest first."""
+    return ordered.ranked(m.select("user_key", "seq", "type"), "user_key", F.col("seq").desc())
 
 
 def reverse_scan(m: DataFrame, snap: int | Column | None = None) -> DataFrame:
     """The scan with each row's place from the largest key down."""
-    return ranked(scan(m, snap), F.col("user_key").desc())
+    return ordered.ranked(scan(m, snap), F.col("user_key").desc())
 
 
 def history(m: DataFrame) -> DataFrame:
-    """Every version with its place from the newest and the sequence number that superseded it."""
-    w = Window.partitionBy("user_key").orderBy(F.col("seq").desc())
-    return m.select("user_key", "seq", "type", F.row_number().over(w).cast("bigint").alias("version"), F.lag("seq").over(w).alias("superseded_by"))
+    """Every version with its place from the newest and the sequence number that superseded it. A version's place is its
+    rank among all versions less that of its key's newest, and the newer version stands one rank before it: joins of
+    single rows, so a key of many versions is no task of its own."""
+    line = ordered.ranked(m.select("user_key", "seq", "type"), "user_key", F.col("seq").desc())
+    first = line.groupBy("user_key").agg(F.min("rank").alias("first"))
+    newer = line.select((F.col("rank") + 1).alias("rank"), F.col("user_key").alias("k"), F.col("seq").alias("superseded_by"))
+    placed = line.join(first, "user_key").join(newer, "rank", "left")
+    after = F.when(F.col("k") == F.col("user_key"), F.col("superseded_by"))
+    return placed.select("user_key", "seq", "type", (F.col("rank") - F.col("first") + 1).alias("version"), after.alias("superseded_by"))
 
 
 def diff(m: DataFrame, older: int | Column, newer: int | Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
+from .ordered import running_total
 
 RECORD_HEADER, FILE_HEADER = 9, 16
 
@@ -35,13 +36,41 @@ def exploded(batches: DataFrame) -> DataFrame:
 
 
 def assigned(records: DataFrame) -> DataFrame:
-    """(log_no, batch_no, n_ops, base_seq) from records without sequence numbers: the batches of all logs in a row. Sums
-    run within each log; only a total for each log is summed across logs."""
+    """(log_no, batch_no, n_ops, base_seq) from records without sequence numbers: the batches of all logs in a row, each
+    beginning after the running total of those before it."""
     sized = records.select("log_no", "batch_no", F.size("ops").cast("bigint").alias("n_ops"))
-    totals = sized.groupBy("log_no").agg(F.sum("n_ops").alias("total"))
-    before = totals.select("log_no", F.coalesce(F.sum("total").over(Window.orderBy("log_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    w = Window.partitionBy("log_no").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.join(before, "log_no").select("log_no", "batch_no", "n_ops", (1 + F.col("before") + F.coalesce(F.sum("n_ops").over(w), F.lit(0))).alias("base_seq"))
+    before = running_total(sized, "n_ops", "before", "log_no", "batch_no", inclusive=False)
+    return before.select("log_no", "batch_no", "n_ops", (1 + F.col("before")).alias("base_seq"))
+
+
+def appended(batches: DataFrame, group: Column) -> DataFrame:
+    """(group_no, base_seq, n_ops, ops): the batches of a group as one, their operations in batch order. The whole takes
+    the first batch's sequence number and its operations are numbered on from it. Groups are bounded by the batch limit."""
+    rows = batches.groupBy(group.alias("group_no")).agg(F.array_sort(F.collect_list(F.struct("batch_no", "base_seq", "ops"))).alias("b"))
+    ops = F.flatten(F.col("b.ops"))
+    base = F.col("b")[0]["base_seq"]
+    numbered = F.transform(ops, lambda op, i: F.struct((base + i).alias("seq"), op["type"].alias("type"), op["user_key"].alias("user_key"), op["value"].alias("value")))
+    return rows.select("group_no", base.alias("base_seq"), F.size(ops).cast("bigint").alias("n_ops"), numbered.alias("ops"))
+
+
+def recovery_units(records: DataFrame, most: int) -> DataFrame:
+    """(log_no, batch_no, unit): the run that replaying a log writes a batch to, when the buffer is written out as soon
+    as it holds more than so many bytes after a batch, and at the log's end. A fold over the records of a log in order,
+    up to the first damaged one; logs are bounded in length."""
+    rows = valid_prefix(records).select("log_no", F.struct("rec_no", "batch_no", batch_bytes(F.col("ops")).alias("size")).alias("r"))
+    logs = rows.groupBy("log_no").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("unit"), zero.alias("used"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(a: Column, r: Column) -> Column:
+        full = a["used"] > most
+        unit = F.when(full, a["unit"] + 1).otherwise(a["unit"])
+        used = F.when(full, r["size"]).otherwise(a["used"] + r["size"])
+        return F.struct(unit.alias("unit"), used.cast("bigint").alias("used"), F.concat(a["out"], F.array(unit)).alias("out"))
+
+    units = logs.select("log_no", "rs", F.aggregate("rs", start, step)["out"].alias("units"))
+    each = units.select("log_no", F.explode(F.arrays_zip(F.col("rs.batch_no").alias("batch_no"), F.col("units").alias("unit"))).alias("z"))
+    return each.select("log_no", "z.batch_no", "z.unit")
 
 
 def valid_prefix(records: DataFrame) -> DataFrame:

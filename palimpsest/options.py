@@ -13,6 +13,7 @@ class Options:
     restart_interval: int = 16
     bloom_bits_per_key: int = 10
     flush_rows: int = 250
+    write_buffer_bytes: int = 4 << 20
     max_key_bytes: int = 4 << 10
     max_value_bytes: int = 1 << 20
     max_batch_bytes: int = 8 << 20

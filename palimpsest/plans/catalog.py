@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..operators import compact, files, manifest, metrics, read, wal
-from ..options import DEFAULT
+from ..operators import compact, files, manifest, metrics, ordered, read, wal
+from ..options import DEFAULT, Options
 from ..sources import carriers as c
 from ..sources import log_file, workload
 from ..store import Store, properties
@@ -35,8 +35,9 @@ def _at(m: DataFrame, tenths: int) -> tuple[DataFrame, Column]:
     return c.with_snapshot(m, tenths), F.col("snap")
 
 
-def _last(m: DataFrame) -> int:
-    return m.agg(F.max("seq")).first()[0] or 0
+def _to_last(m: DataFrame) -> DataFrame:
+    """The log with n, its newest sequence number, from a single row: no action runs before the query does."""
+    return m.crossJoin(F.broadcast(c.last_sequence(m)))
 
 
 # ---- reads
@@ -148,13 +149,31 @@ def source_union_scan(spark, d):
     return read.scan(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+@query
+def ordered_scan(spark, d):
+    """The scan with each key's place in key order."""
+    return read.ordered_scan(c.mutations(spark, d))
+
+
+@query
+def internal_order(spark, d):
+    """Every version's place in the order of a run: key up, newest first."""
+    return read.internal_order(c.mutations(spark, d))
+
+
+@query
+def seek_next(spark, d):
+    """The three live keys from each target on."""
+    return read.seek_next(read.scan(c.mutations(spark, d)), _targets(spark, d), 3)
+
+
 @query
 def absent_in_range(spark, d):
-    """Probes inside the key range that the even half of the log doesn't have."""
-    m = c.mutations(spark, d)
+    """Probes inside the key range of a log without the keys that end in 3 or 7."""
+    m = c.mutations(spark, d).where(~F.substring("user_key", -1, 1).isin("3", "7"))
     ends = F.broadcast(m.agg(F.min("user_key").alias("first"), F.max("user_key").alias("last")))
     inside = c.probes(spark, d).crossJoin(ends).where(F.col("user_key").between(F.col("first"), F.col("last")))
-    return inside.join(m.where("seq % 2 = 0"), "user_key", "left_anti").select("probe_id", "user_key")
+    return inside.join(m, "user_key", "left_anti").select("probe_id", "user_key")
 
 
 # ---- files
@@ -180,7 +199,16 @@ def tier_summary(spark, d):
 
 @query
 def overlapping_files(spark, d):
-    return files.overlapping(_meta(spark, d))
+    """How many other files each file's key range overlaps."""
+    return files.overlaps(_meta(spark, d))
+
+
+@query
+def overlapping_inputs(spark, d):
+    """The files beside which each file of the next compaction lies."""
+    meta = _meta(spark, d)
+    inputs = meta.join(compact.picked(meta, Options(tier_trigger=2)).select("file_no"), "file_no", "left_semi")
+    return files.overlapping(inputs, meta)
 
 
 @query
@@ -203,7 +231,9 @@ def first_hit_is_newest(spark, d):
 
 @query
 def order_violations(spark, d):
-    return files.order_violations(_entries(spark, d)).select("file_no", F.col("violations").cast("int").alias("violations"))
+    """Files of odd numbers as the log wrote them, unsorted; the others sorted."""
+    placed = encode.in_file_order(_entries(spark, d)).withColumn("pos", F.when(F.col("file_no") % 2 == 1, F.col("seq")).otherwise(F.col("pos")))
+    return files.order_violations(placed)
 
 
 @query
@@ -219,10 +249,19 @@ def flush_tiers(spark, d):
 # ---- compaction
 
 
+PICKS = [(1, 7), (2, 7), (3, 7), (2, 3), (2, 2), (1, 1)]
+
+
 @query
 def compact_pick(spark, d):
-    flushed = c.flush_units(c.mutations(spark, d)).withColumn("tier", F.lit(0))
-    return compact.picked(files.file_stats(flushed))
+    """The next compaction over the steady tiers, at several settings: a deeper tier, the fold into the last tier, and
+    the last tier into itself among them."""
+    meta, out = _meta(spark, d), None
+    for trigger, tiers in PICKS:
+        capped = meta.withColumn("tier", F.least("tier", F.lit(tiers - 1)))
+        one = compact.picked(capped, Options(tier_trigger=trigger, max_tiers=tiers)).select(F.lit(trigger).alias("trigger"), F.lit(tiers).alias("tiers"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _log_entries(e: DataFrame) -> DataFrame:
@@ -233,37 +272,40 @@ def _nothing(e: DataFrame) -> DataFrame:
     return files.file_stats(e).where("false")
 
 
+def _compacted(spark, d, tenths: int = 10) -> DataFrame:
+    """All entries judged as one compaction with the oldest snapshot at so many tenths of the log; n is its end."""
+    e = _to_last(_entries(spark, d))
+    return compact.judged(e, _nothing(e), (F.col("n") * tenths / 10).cast("bigint"))
+
+
 @query
 def compact_no_snapshot(spark, d):
-    e = _entries(spark, d)
-    return _log_entries(compact.merged(e, _nothing(e), _last(e)))
+    return _log_entries(_compacted(spark, d).where("fate = 'kept'"))
 
 
 @query
 def compact_with_snapshot(spark, d):
-    e = _entries(spark, d)
-    return _log_entries(compact.merged(e, _nothing(e), _last(e) * LOW // 10))
+    return _log_entries(_compacted(spark, d, LOW).where("fate = 'kept'"))
 
 
 @query
 def compact_tombstones_blocked(spark, d):
-    e = _entries(spark, d)
-    older = files.file_stats(e).where("file_no < 2")
-    return _log_entries(compact.merged(e.where(F.col("file_no").between(2, 3)), older, _last(e)))
+    """The two shallowest tiers merged: files of deeper tiers hold deletions back."""
+    e = _to_last(_entries(spark, d))
+    deeper = files.file_stats(e).where("tier >= 2")
+    return _log_entries(compact.merged(e.where("tier < 2"), deeper, F.col("n")))
 
 
 @query
 def compact_then_scan(spark, d):
     """A scan after compaction equals the scan before it, for snapshots from the oldest live one on."""
-    e = _entries(spark, d)
-    n = _last(e)
-    return read.scan(compact.merged(e, _nothing(e), n * LOW // 10), n * MID // 10)
+    kept = _compacted(spark, d, LOW).where("fate = 'kept'")
+    return read.scan(kept, (F.col("n") * MID / 10).cast("bigint"))
 
 
 @query
 def dropped_by_rule(spark, d):
-    e = _entries(spark, d)
-    return compact.judged(e, _nothing(e), _last(e) * LOW // 10).groupBy("fate").agg(F.count("*").alias("entries"))
+    return _compacted(spark, d, LOW).groupBy("fate").agg(F.count("*").alias("entries"))
 
 
 @query
@@ -282,8 +324,9 @@ def oldest_snapshot(spark, d):
 @query
 def compact_loop(spark, d):
     """Every flush into tier 0, compacted until no tier is full: files and entries of each tier, and the live keys."""
-    flushed = c.flush_units(c.mutations(spark, d), max(DEFAULT.flush_rows, _last(c.mutations(spark, d)) // 20)).withColumn("tier", F.lit(0))
-    done = compact.compact_all(flushed, _last(flushed))
+    flushed = c.flush_units(c.mutations(spark, d)).withColumn("tier", F.lit(0))
+    last = flushed.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    done = compact.compact_all(flushed, last)
     return done.groupBy("tier").agg(F.countDistinct("file_no").alias("files"), F.count("*").alias("entries"), F.count_if(F.col("type") == 1).alias("puts"))
 
 
@@ -336,7 +379,10 @@ def catalog_parse(spark, d):
 
 @query
 def version_text(spark, d):
-    return manifest.version_text(manifest.live_files(c.edits(c.mutations(spark, d))), _meta(spark, d))
+    meta = _meta(spark, d)
+    made = meta.groupBy((F.floor(F.col("file_no") / DEFAULT.tier_trigger) + 100000).alias("file_no")).agg(F.sum("file_size").alias("file_size"))
+    sizes = meta.select("file_no", "file_size").unionByName(made)
+    return manifest.version_text(manifest.live_files(c.edits(c.mutations(spark, d))), sizes)
 
 
 # ---- log
@@ -380,6 +426,19 @@ def group_commit(spark, d):
     return wal.commit_groups(_records(spark, d), small=400, large=1000)
 
 
+@query
+def recovery_units(spark, d):
+    """The runs that replaying each log writes, with a buffer of 1,500 bytes."""
+    return wal.recovery_units(_records(spark, d), 1500)
+
+
+@query
+def batch_append(spark, d):
+    """Every three batches appended to one, their operations numbered on."""
+    whole = wal.appended(_batches(spark, d), F.floor(F.col("batch_no") / 3).cast("bigint"))
+    return whole.select("group_no", "base_seq", "n_ops", F.explode("ops").alias("op")).select("group_no", "base_seq", "n_ops", "op.seq", "op.type", "op.user_key")
+
+
 @query
 def batch_last_op_wins(spark, d):
     return wal.last_op_wins(_batches(spark, d))
@@ -460,7 +519,10 @@ def packed_tag(spark, d):
 
 @query
 def internal_key_valid(spark, d):
-    k = c.mutations(spark, d).select("seq", encode.internal_key(F.col("user_key"), F.col("seq"), F.col("type")).alias("k"))
+    """Every third key has a type that there is not, and every fifth is cut to seven bytes."""
+    kind = F.when(F.col("seq") % 3 == 0, F.col("type") + 2).otherwise(F.col("type"))
+    whole = encode.internal_key(F.col("user_key"), F.col("seq"), kind)
+    k = c.mutations(spark, d).select("seq", F.when(F.col("seq") % 5 == 0, F.substring(whole, 1, 7)).otherwise(whole).alias("k"))
     return k.select("seq", F.length("k").alias("key_bytes"), encode.valid_internal_key(F.col("k")).alias("valid"))
 
 
@@ -470,11 +532,6 @@ def shared_prefix(spark, d):
     return e.select("file_no", "pos", encode.shared_prefix(F.col("before"), F.col("user_key")).alias("shared"))
 
 
-@query
-def restart_points(spark, d):
-    return encode.in_file_order(_entries(spark, d)).where(F.col("pos") % DEFAULT.restart_interval == 0).select("file_no", "pos")
-
-
 BLOCK = 1024
 
 
@@ -488,6 +545,14 @@ def block_cut(spark, d):
     return encode.cut_blocks(_placed(spark, d).select("file_no", "pos", "size"), BLOCK)
 
 
+@query
+def restart_points(spark, d):
+    """The first entry of each block and every sixteenth after it."""
+    cut = encode.cut_blocks(_placed(spark, d).select("file_no", "pos", "size"), BLOCK)
+    first = cut.groupBy("file_no", "block_no").agg(F.min("pos").alias("first"))
+    return cut.join(first, ["file_no", "block_no"]).where((F.col("pos") - F.col("first")) % DEFAULT.restart_interval == 0).select("file_no", "block_no", "pos")
+
+
 @query
 def index_separators(spark, d):
     p = _placed(spark, d)
@@ -538,14 +603,17 @@ def hot_keys(spark, d):
     """Nine draws in ten from the first hundredth of the keys."""
     e = c.table(spark, d, "events").select("event_id")
     n = F.broadcast(e.agg(F.count("*").alias("n")))
-    hot = F.col("event_id") % (F.floor(F.col("n") / 100) + 1)
-    return e.crossJoin(n).select("event_id", F.when(F.col("event_id") % 10 < 9, hot).otherwise(F.col("event_id")).cast("bigint").alias("draw"))
+    draw = F.when(F.col("event_id") % 100 < 90, F.col("event_id") % (F.floor(F.col("n") / 100) + 1)).otherwise(F.col("event_id") % F.col("n"))
+    return e.crossJoin(n).select("event_id", draw.cast("bigint").alias("draw"))
 
 
 @query
 def block_cache_keys(spark, d):
-    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("block")
-    return _meta(spark, d).select("file_no", blocks).select("file_no", "block", (F.col("file_no") * (1 << 32) + F.col("block") * 4096).alias("cache_key"))
+    """File number and the block's offset, that is the bytes of the blocks before it."""
+    p = _placed(spark, d)
+    sizes = p.join(encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK), ["file_no", "pos"]).groupBy("file_no", "block_no").agg(F.sum("size").alias("bytes"))
+    offset = F.coalesce(F.sum("bytes").over(Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select("file_no", F.col("block_no").alias("block"), (F.col("file_no") * (1 << 32) + offset).alias("cache_key"))
 
 
 @query
@@ -573,28 +641,18 @@ def bloom_fpr(spark, d):
     return out
 
 
-def _looked_up(spark, d, probes: DataFrame) -> DataFrame:
-    """(file_no, probe_id, block_no), by a merge of probes and separators in falling key order within each file."""
+@query
+def block_lookup(spark, d):
+    """The block of each file that an index search takes each probe's key to: the first whose last key is not below it.
+    Probes and separators are merged in falling key order within each file, and the last separator seen is the answer."""
     p = _placed(spark, d)
     index = encode.separators(p.join(encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK), ["file_no", "pos"]))
-    ends = index.select("file_no", F.col("last_key").alias("key"), F.lit(None).cast("bigint").alias("probe_id"), "block_no")
+    ends = index.select("file_no", F.col("last_key").alias("key"), F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("probe_id"), "block_no")
     numbers = F.broadcast(_entries(spark, d).select("file_no").distinct())
-    asked = probes.crossJoin(numbers).select("file_no", F.col("user_key").alias("key"), F.col("probe_id").cast("bigint").alias("probe_id"), F.lit(None).cast("bigint").alias("block_no"))
-    found = F.min("block_no").over(Window.partitionBy("file_no").orderBy(F.col("key").desc()))
-    return ends.union(asked).withColumn("block_no", found).where("probe_id IS NOT NULL AND block_no IS NOT NULL").select("file_no", "probe_id", "block_no")
-
-
-@query
-def block_lookup(spark, d):
-    """The block of each file that an index search takes a key to: the first whose last key is not below it. The first
-    20 probes only, as in its SQL; block_lookup_all has every probe."""
-    return _looked_up(spark, d, c.probes(spark, d).where("probe_id < 20"))
-
-
-@query
-def block_lookup_all(spark, d):
-    """block_lookup for every probe."""
-    return _looked_up(spark, d, c.probes(spark, d))
+    asked = c.probes(spark, d).crossJoin(numbers).select("file_no", F.col("user_key").alias("key"), F.lit(1).alias("turn"), F.col("probe_id").cast("bigint").alias("probe_id"), F.lit(None).cast("bigint").alias("block_no"))
+    # Of several blocks that end with one key, the first is met last.
+    merged = ordered.carried(ends.union(asked), "file_no", "block_no", F.col("key").desc(), "turn", F.col("block_no").desc(), "probe_id")
+    return merged.where("probe_id IS NOT NULL AND block_no IS NOT NULL").select("file_no", "probe_id", "block_no")
 
 
 @query
@@ -618,25 +676,50 @@ def backpressure(spark, d):
 
 @query
 def workload_fillseq(spark, d):
-    return workload.keys(spark, "fillseq", 4000, 4)
+    return workload.sequential(spark, 4000, 4)
+
+
+def _drawn(spark, kind: str) -> DataFrame:
+    return workload.keys(spark, kind, 4000, 4).select("thread", "i", "n", "user_key")
 
 
 @query
 def workload_fillrandom(spark, d):
-    return workload.keys(spark, "fillrandom", 4000, 4).groupBy("thread").agg(F.count("*").alias("ops"), F.countDistinct("n").alias("different_keys"))
+    return _drawn(spark, "fillrandom")
+
+
+@query
+def workload_readrandom(spark, d):
+    return _drawn(spark, "readrandom")
 
 
 @query
 def workload_readhot(spark, d):
-    hot = workload.keys(spark, "readhot", 4000, 4)
-    return hot.groupBy("thread").agg(F.count_if(F.col("n") <= 40).alias("hot_reads"), F.count("*").alias("reads"))
+    return _drawn(spark, "readhot")
 
 
 @query
 def workload_readmissing(spark, d):
-    """Every probe is odd, so none is in a preload of even keys."""
-    loaded = spark.range(2000).select(workload.baseline(4000, F.col("id")).alias("user_key"))
-    return workload.keys(spark, "readmissing", 4000, 4).join(loaded, "user_key", "left_anti").groupBy("thread").agg(F.count("*").alias("missing"))
+    """Odd probes, against a preload of even keys."""
+    loaded = spark.range(2000).select(workload.baseline(4000, F.col("id")).alias("user_key"), F.lit(True).alias("found"))
+    probed = _drawn(spark, "readmissing").join(loaded, "user_key", "left")
+    return probed.select("thread", "i", "n", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query
+def workload_mixed(spark, d):
+    """Two writers and four readers at once: each one's operations and different keys, and how many reads found a key
+    that some writer has written."""
+    ops = workload.mixed(spark, 4000, 1000, 2, 4)
+    written = ops.where("role = 'write'").select("n").distinct().withColumn("found", F.lit(True))
+    both = ops.join(written, "n", "left")
+    return both.groupBy("role", "thread").agg(F.count("*").alias("ops"), F.countDistinct("n").alias("different_keys"), F.count_if((F.col("role") == "read") & F.col("found")).alias("found"))
+
+
+@query
+def workload_baseline(spark, d):
+    """The raw append: keys in order with a fixed value, and the bytes they make."""
+    return workload.sequential(spark, 4000, 1).agg(F.count("*").alias("ops"), F.sum(F.octet_length("user_key") + 100).alias("bytes"))
 
 
 # ---- whole stores
@@ -644,10 +727,31 @@ def workload_readmissing(spark, d):
 
 @query
 def store_session(spark, d):
-    """The log as a store's files, compacted under a snapshot and read through the façade."""
-    s = Store(spark, entries=_entries(spark, d))
-    with s.snapshot():
-        return s.scan()
+    """The log as a store's files; under a snapshot, keys are deleted and all tiers of two files or more compacted; then
+    it is read at the snapshot."""
+    s = Store(spark, Options(tier_trigger=2), entries=_entries(spark, d))
+    with s.snapshot() as at:
+        s.write([(0, f"key{n:013d}", None) for n in range(0, 100, 3)])
+        s.compact()
+        return s.scan(at)
+
+
+@query
+def store_reopened(spark, d):
+    """The nation's keys put in a store, some deleted, the store left without closing and opened again: the log is
+    replayed. Values and sequence numbers as they are found."""
+    rows = [(r["n_nationkey"], r["n_name"]) for r in c.table(spark, d, "nation").orderBy("n_nationkey").collect()]
+    s = Store(spark, Options(tier_trigger=2))
+    for i, (n, name) in enumerate(rows):
+        s.write([(1, f"n{n:03d}", name), (1, f"last{n % 3}", str(n))])
+        if i % 9 == 8:
+            s.flush()
+    s.compact()
+    for n, _ in rows:
+        if n % 4 == 0:
+            s.delete(f"n{n:03d}")
+    again = Store(spark, Options(tier_trigger=2), path=s.folder.path)
+    return read.newest(again.log())
 
 
 @query

@@ -63,6 +63,24 @@ NAMES = ["000123.sst", "000007.log", "000009.tmp", "MANIFEST-000042", "MANIFEST-
 KEY_SIZES, VALUE_SIZES = [0, 1, 4096, 4097], [0, 1048576, 1048577]
 _NAMES = ", ".join(f"('{n}')" for n in NAMES)
 
+def picked(meta: str, trigger: int, tiers: int) -> str:
+    """The next compaction's inputs among files (file_no, tier)."""
+    return f"""SELECT file_no, tier AS input_tier, least(filled + 1, {tiers} - 1) AS output_tier FROM (SELECT file_no, tier, row_number() OVER (PARTITION BY tier ORDER BY file_no) AS nth FROM {meta}),
+      (SELECT min(tier) AS filled FROM (SELECT tier FROM {meta} GROUP BY tier HAVING count(*) >= {trigger}))
+      WHERE (tier = filled AND (nth <= {trigger} OR filled = {tiers} - 1)) OR (filled + 1 >= {tiers} AND tier = {tiers} - 1)"""
+
+
+#: The draws of readers (s) and writers (n), a step of the generator at a time, in 64 bits.
+DRAWS = """drawn AS (SELECT t, CAST(-1 AS BIGINT) AS i, CAST({seeds} AS HUGEINT) AS s FROM (SELECT CAST(unnest(range({least}, {most} + 1)) AS HUGEINT) AS t)
+  UNION ALL SELECT t, i + 1, xor(c, (c * 131072) % 18446744073709551616) FROM (SELECT t, i, xor(b, b // 128) AS c FROM (SELECT t, i, xor(s, (s * 8192) % 18446744073709551616) AS b FROM drawn WHERE i < {ops} - 1))),
+ draw AS (SELECT CAST(t AS BIGINT) AS t, i, s FROM drawn WHERE i >= 0)
+"""
+WRITES = """step AS (SELECT t, CAST(-1 AS BIGINT) AS i, CAST({seeds} AS HUGEINT) AS s FROM (SELECT CAST(unnest(range(0, {most} + 1)) AS HUGEINT) AS t)
+  UNION ALL SELECT t, i + 1, ((s % 4294967296) * 6364136223846793005 + (((s // 4294967296) * 6364136223846793005) % 4294967296) * 4294967296 + 1442695040888963407) % 18446744073709551616 FROM step WHERE i < {ops} - 1),
+ written AS (SELECT CAST(t AS BIGINT) AS t, i, CAST((s // 1048576) % 4000 AS BIGINT) AS n FROM step WHERE i >= 0)
+"""
+HOT = "CAST(CASE WHEN s % 100 < 90 THEN s % 41 ELSE s % 4000 END AS BIGINT)"
+
 SQL: dict[str, str] = {
     "snapshot_scan": view(scan()),
     "snapshot_scan_mid": view(scan(MID)),
@@ -87,18 +105,20 @@ SQL: dict[str, str] = {
     "source_union_scan": view(scan()),
     "flush_file_stats": view("SELECT * FROM meta", ENTRY),
     "tier_summary": view("SELECT CAST(t AS INTEGER) AS tier, count(file_no) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(num_entries), 0) AS BIGINT) AS entries FROM range(7) r(t) LEFT JOIN meta ON tier = t GROUP BY t", ENTRY),
-    "overlapping_files": view("SELECT a.file_no AS a_file, b.file_no AS b_file FROM meta a JOIN meta b ON a.file_no < b.file_no AND a.smallest <= b.largest AND b.smallest <= a.largest", ENTRY),
+    "overlapping_files": view("SELECT a.file_no, count(*) - 1 AS overlaps FROM meta a JOIN meta b ON a.smallest <= b.largest AND b.smallest <= a.largest GROUP BY a.file_no", ENTRY),
     "files_consulted_per_probe": view(f"SELECT probe_id, user_key, count(m.smallest) AS files FROM {PROBES} p LEFT JOIN meta m ON p.user_key BETWEEN m.smallest AND m.largest GROUP BY ALL", ENTRY),
     "first_hit_lookup": view("SELECT user_key, tier, file_no, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY tier, file_no DESC, seq DESC) AS rn FROM entry) WHERE rn = 1", ENTRY),
     "first_hit_is_newest": view("SELECT user_key, max(seq) AS first_seq, max(seq) AS newest_seq FROM entry GROUP BY user_key", ENTRY),
-    "order_violations": view("SELECT file_no, 0 AS violations FROM meta", ENTRY),
+    "order_violations": view("""SELECT file_no, count(*) FILTER (k > user_key OR (k = user_key AND s <= seq)) AS violations FROM (SELECT file_no, user_key, seq, lag(user_key) OVER w AS k, lag(seq) OVER w AS s FROM (
+      SELECT *, CASE WHEN file_no % 2 = 1 THEN seq ELSE row_number() OVER (PARTITION BY file_no ORDER BY user_key, seq DESC) END AS pos FROM entry) WINDOW w AS (PARTITION BY file_no ORDER BY pos)) GROUP BY file_no""", ENTRY),
     "dump_totals": view("SELECT file_no, count(*) AS entries, count(*) FILTER (type = 0) AS deletions, min(user_key) AS first_key, max(user_key) AS last_key, CAST(sum(strlen(user_key)) AS BIGINT) AS key_bytes, CAST(sum(coalesce(strlen(value), 0)) AS BIGINT) AS value_bytes FROM entry GROUP BY file_no", ENTRY),
     "flush_tiers": view("SELECT DISTINCT file_no, tier FROM entry", ENTRY),
-    "absent_in_range": view(f"SELECT probe_id, user_key FROM {PROBES} p WHERE user_key BETWEEN (SELECT min(user_key) FROM mutation) AND (SELECT max(user_key) FROM mutation) AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM mutation WHERE seq % 2 = 0) m WHERE m.user_key = p.user_key)"),
-    "compact_pick": view("SELECT file_no, 0 AS input_tier, 1 AS output_tier FROM (SELECT file_no, row_number() OVER (ORDER BY file_no) AS rank FROM (SELECT DISTINCT file_no FROM flushed)) WHERE rank <= 4 AND (SELECT count(DISTINCT file_no) FROM flushed) >= 4", ENTRY),
+    "absent_in_range": view(f"""SELECT probe_id, user_key FROM {PROBES} p WHERE user_key BETWEEN (SELECT min(user_key) FROM thinned) AND (SELECT max(user_key) FROM thinned) AND NOT EXISTS (SELECT 1 FROM thinned m WHERE m.user_key = p.user_key)""",
+      MUTATION + ", thinned AS (SELECT * FROM mutation WHERE right(user_key, 1) NOT IN ('3', '7'))"),
+    "compact_pick": view(" UNION ALL ".join(f"SELECT {k} AS trigger, {t} AS tiers, p.* FROM ({picked(f'(SELECT file_no, least(tier, {t} - 1) AS tier FROM meta)', k, t)}) p" for k, t in ((1, 7), (2, 7), (3, 7), (2, 3), (2, 2), (1, 1))), ENTRY),
     "compact_no_snapshot": view(f"SELECT seq, type, user_key, value FROM ({compacted('TRUE', 'FALSE', '(SELECT n FROM last)')}) WHERE fate = 'kept'", ENTRY),
     "compact_with_snapshot": view(f"SELECT seq, type, user_key, value FROM ({compacted('TRUE', 'FALSE', LOW)}) WHERE fate = 'kept'", ENTRY),
-    "compact_tombstones_blocked": view(f"SELECT seq, type, user_key, value FROM ({compacted('file_no BETWEEN 2 AND 3', 'file_no < 2', '(SELECT n FROM last)')}) WHERE fate = 'kept'", ENTRY),
+    "compact_tombstones_blocked": view(f"SELECT seq, type, user_key, value FROM ({compacted('tier < 2', 'o.tier >= 2', '(SELECT n FROM last)')}) WHERE fate = 'kept'", ENTRY),
     "compact_then_scan": view(scan(MID)),
     "dropped_by_rule": view(f"SELECT fate, count(*) AS entries FROM ({compacted('TRUE', 'FALSE', LOW)}) GROUP BY fate", ENTRY),
     "reclaim_ratio": view(f"SELECT count(*) AS entries, count(DISTINCT user_key) AS distinct_keys, (SELECT count(*) FROM ({scan()})) AS live_keys, count(*) * 1000 // greatest((SELECT count(*) FROM ({scan()})), 1) AS per_mille FROM entry", ENTRY),
@@ -109,7 +129,7 @@ SQL: dict[str, str] = {
       UNION ALL SELECT tier, file_no, arg_max(action, edit_no * 2 + CASE WHEN action = 'add' THEN 1 ELSE 0 END) AS last FROM edit GROUP BY ALL) WHERE last = 'add'""", EDIT),
     "obsolete_files": view("""SELECT printf('%06d.sst', file_no) AS name, 'sst' AS kind, file_no AS number FROM edit WHERE action = 'add' AND file_no NOT IN (SELECT file_no FROM live)
       UNION ALL SELECT printf('%06d.log', l), 'log', l FROM range(10) r(l) WHERE l < 4
-      UNION ALL SELECT printf('%06d.tmp', l), 'tmp', l FROM range(10) r(l) UNION ALL SELECT printf('MANIFEST-%06d', l), 'MANIFEST', l FROM range(10) r(l) WHERE l <> 3""", EDIT),
+      UNION ALL SELECT printf('%06d.tmp', l), 'tmp', l FROM range(10) r(l) UNION ALL SELECT printf('MANIFEST-%06d', l), 'MANIFEST', l FROM range(10) r(l) WHERE l < 3""", EDIT),
     "orphan_bytes": view("SELECT count(*) AS orphan_files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS orphan_bytes FROM meta WHERE file_no NOT IN (SELECT file_no FROM live)", EDIT),
     "next_file_number": view("SELECT greatest(100, (SELECT max(file_no) FROM edit) + 1) AS next_file_number", EDIT),
     "min_live_log": "SELECT n_nationkey AS log, n_regionkey AS prev, CASE WHEN n_regionkey <> 0 THEN least(n_regionkey, n_nationkey) ELSE n_nationkey END AS min_log FROM nation",
@@ -117,7 +137,8 @@ SQL: dict[str, str] = {
       WHEN regexp_matches(name, '^[0-9]+\\.(sst|log|tmp)$') THEN split_part(name, '.', 2) END AS kind,
       CASE WHEN name IN ('CURRENT', 'LOCK', 'LOG') THEN 0 WHEN regexp_matches(name, '^MANIFEST-[0-9]+$') THEN CAST(substr(name, 10) AS BIGINT)
       WHEN regexp_matches(name, '^[0-9]+\\.(sst|log|tmp)$') THEN CAST(split_part(name, '.', 1) AS BIGINT) END AS number FROM (VALUES {_NAMES}) v(name)""",
-    "version_text": view("SELECT tier, string_agg(file_no || '(' || file_size || ' B)', ' ' ORDER BY file_no) AS text FROM (SELECT l.tier, l.file_no, m.file_size FROM live l JOIN meta m USING (file_no)) GROUP BY tier", EDIT),
+    "version_text": view("""SELECT tier, string_agg(file_no || '(' || file_size || ' B)', ' ' ORDER BY file_no) AS text FROM (SELECT l.tier, l.file_no, m.file_size FROM live l JOIN (
+      SELECT file_no, file_size FROM meta UNION ALL SELECT file_no // 4 + 100000, CAST(sum(file_size) AS BIGINT) FROM meta GROUP BY ALL) m USING (file_no)) GROUP BY tier""", EDIT),
     "batch_explode": view("SELECT batch_no, (seq - 1) % 7 AS pos, seq, type, user_key, value FROM op", BATCH),
     "sequence_assign": view("SELECT log_no, batch_no, n_ops, base_seq FROM rec", BATCH),
     "torn_tail": view("SELECT log_no, rec_no, batch_no, base_seq FROM good", BATCH),
@@ -143,17 +164,15 @@ SELECT CAST(p AS BIGINT) AS per_mille, min(lower) AS v FROM (VALUES (500), (900)
     "openloop_validity": """SELECT run, n, took_us, late, worst_us, n * 1000000 * 100 >= took_us * 99 AS valid FROM (SELECT run, count(*) AS n, max(done_us) AS took_us, count(*) FILTER (done_us - i * 1000000 > 1000000) AS late, max(done_us - i * 1000000) AS worst_us
       FROM (SELECT user_id % 4 AS run, event_id // 4 AS i, event_id // 4 * 1000000 + CAST(floor(value * 20000) AS BIGINT) AS done_us FROM events) GROUP BY run)""",
     "packed_tag": view("SELECT seq, type, (seq << 8) | type AS packed, ((seq << 8) | type) >> 8 AS seq_back, ((seq << 8) | type) & 255 AS type_back FROM mutation"),
-    "internal_key_valid": view("SELECT seq, 24 AS key_bytes, TRUE AS valid FROM mutation"),
-    "shared_prefix": view("""SELECT file_no, pos, CAST(len(list_filter(range(1, 1 + least(strlen(before), strlen(user_key))), lambda i: before[1:i] = user_key[1:i])) AS BIGINT) AS shared FROM (
+    "internal_key_valid": view("SELECT seq, CASE WHEN seq % 5 = 0 THEN 7 ELSE 24 END AS key_bytes, seq % 5 <> 0 AND seq % 3 <> 0 AS valid FROM mutation"),
+    "shared_prefix": view("""SELECT file_no, pos, CAST(coalesce(list_min(list_filter(range(1, 1 + least(strlen(before), strlen(user_key))), lambda i: before[i] <> user_key[i])) - 1, least(strlen(before), strlen(user_key))) AS BIGINT) AS shared FROM (
       SELECT file_no, user_key, row_number() OVER w - 1 AS pos, lag(user_key, 1, '') OVER w AS before FROM entry WINDOW w AS (PARTITION BY file_no ORDER BY user_key, seq DESC))""", ENTRY),
-    "restart_points": view("SELECT file_no, pos FROM (SELECT file_no, row_number() OVER (PARTITION BY file_no ORDER BY user_key, seq DESC) - 1 AS pos FROM entry) WHERE pos % 16 = 0", ENTRY),
     "varint_length": f"WITH {HIST} SELECT v, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END AS bytes FROM (SELECT DISTINCT v FROM sample)",
     "varint_bytes": f"""WITH {HIST} SELECT v, CASE WHEN v < 128 THEN printf('%02X', v) WHEN v < 16384 THEN printf('%02X%02X', v & 127 | 128, v >> 7) ELSE printf('%02X%02X%02X', v & 127 | 128, (v >> 7) & 127 | 128, v >> 14) END AS bytes FROM (SELECT DISTINCT v FROM sample)""",
     "fixed_bytes": view("SELECT seq, printf('%02X%02X%02X%02X', seq & 255, (seq >> 8) & 255, (seq >> 16) & 255, (seq >> 24) & 255) AS bytes FROM mutation"),
     "file_names": view("SELECT file_no, printf('%06d.sst', file_no) AS sst, printf('MANIFEST-%06d', file_no) AS manifest FROM meta", ENTRY),
     "printable_keys": view("SELECT user_key, user_key || '\\x00' || '\\xc3' || '\\xa9' AS shown FROM (SELECT DISTINCT user_key FROM mutation)"),
-    "hot_keys": "SELECT event_id, CASE WHEN event_id % 10 < 9 THEN event_id % (count(*) OVER () // 100 + 1) ELSE event_id END AS draw FROM events",
-    "block_cache_keys": view("SELECT file_no, block, file_no * 4294967296 + block * 4096 AS cache_key FROM meta, range(3) r(block)", ENTRY),
+    "hot_keys": "SELECT event_id, CASE WHEN event_id % 100 < 90 THEN event_id % (count(*) OVER () // 100 + 1) ELSE event_id % count(*) OVER () END AS draw FROM events",
     "write_amplification": view(f"SELECT (SELECT count(*) FROM op) AS writes, (SELECT count(*) FROM rec) AS commits, (SELECT count(*) FROM rec WHERE sync) AS syncs, (SELECT count(*) FROM op) * 100 // (SELECT count(*) FROM rec WHERE sync) AS writes_per_sync_pct", BATCH),
     "properties": view("""SELECT 'num-files-at-tier' || t AS name, CAST((SELECT count(*) FROM meta WHERE tier = t) AS BIGINT) AS v FROM range(7) r(t)
       UNION ALL SELECT 'live-bytes', CAST(sum(file_size) AS BIGINT) FROM meta UNION ALL SELECT 'live-entries', CAST(sum(num_entries) AS BIGINT) FROM meta""", ENTRY),
@@ -164,7 +183,29 @@ SELECT CAST(p AS BIGINT) AS per_mille, min(lower) AS v FROM (VALUES (500), (900)
     "wal_replay_raw": view("SELECT log_no, seq, type, user_key, value FROM op JOIN good USING (batch_no)", BATCH),
     "backpressure": view("SELECT file_no, file_no % 16 + 1 AS tier0_files, CASE WHEN file_no % 16 + 1 >= 12 THEN 'stop' WHEN file_no % 16 + 1 >= 8 THEN 'slow' ELSE 'free' END AS writers FROM meta", ENTRY),
     "workload_fillseq": "SELECT t AS thread, i, t * 1000 + i AS n, printf('key%013d', t * 1000 + i) AS user_key FROM range(4) a(t), range(1000) b(i)",
-    "workload_readmissing": "SELECT t AS thread, CAST(1000 AS BIGINT) AS missing FROM range(4) a(t)",
+    "workload_readmissing": "WITH RECURSIVE " + DRAWS.format(least=0, most=3, seeds="t * 88172645463325252 + 7", ops=1000) + "SELECT t AS thread, i, CAST(s % 4000 AS BIGINT) | 1 AS n, FALSE AS found FROM draw",
+    "overlapping_inputs": view(f"""SELECT a.file_no AS a_file, b.file_no AS b_file FROM meta a JOIN meta b ON a.file_no <> b.file_no AND a.smallest <= b.largest AND b.smallest <= a.largest
+      WHERE a.file_no IN (SELECT file_no FROM ({picked("meta", 2, 7)}))""", ENTRY),
+    "workload_readrandom": "WITH RECURSIVE " + DRAWS.format(least=0, most=3, seeds="t * 88172645463325252 + 7", ops=1000) + "SELECT t AS thread, i, CAST(s % 4000 AS BIGINT) AS n, printf('key%013d', CAST(s % 4000 AS BIGINT)) AS user_key FROM draw",
+    "workload_readhot": "WITH RECURSIVE " + DRAWS.format(least=0, most=3, seeds="t * 88172645463325252 + 7", ops=1000) + f"SELECT t AS thread, i, {HOT} AS n, printf('key%013d', {HOT}) AS user_key FROM draw",
+    "workload_fillrandom": "WITH RECURSIVE " + WRITES.format(most=3, seeds="t * 2654435761 + 1", ops=1000) + "SELECT t AS thread, i, n, printf('key%013d', n) AS user_key FROM written",
+    "workload_mixed": "WITH RECURSIVE " + WRITES.format(most=1, seeds="t + 11", ops=1000).rstrip() + ", " + DRAWS.format(least=0, most=3, seeds="t * 99 + 5", ops=1000) + f"""
+      SELECT 'write' AS role, t AS thread, count(*) AS ops, count(DISTINCT n) AS different_keys, CAST(0 AS BIGINT) AS found FROM written GROUP BY t
+      UNION ALL SELECT 'read', t, count(*), count(DISTINCT n), count(*) FILTER (n IN (SELECT n FROM written)) FROM (SELECT t, {HOT} AS n FROM draw) GROUP BY t""",
+    "workload_baseline": "SELECT CAST(4000 AS BIGINT) AS ops, CAST(sum(strlen(printf('key%013d', i)) + 100) AS BIGINT) AS bytes FROM range(4000) r(i)",
+    "ordered_scan": view(f"SELECT *, row_number() OVER (ORDER BY user_key) AS rank FROM ({scan()})"),
+    "internal_order": view("SELECT user_key, seq, type, row_number() OVER (ORDER BY user_key, seq DESC) AS rank FROM mutation"),
+    "seek_next": view(f"""SELECT target, step, user_key, value FROM (SELECT target, user_key, value, row_number() OVER (PARTITION BY target ORDER BY user_key) - 1 AS step FROM {TARGETS} t JOIN ({scan()}) v ON v.user_key >= t.target) WHERE step < 3"""),
+    "batch_append": view("SELECT batch_no // 3 AS group_no, min(seq) OVER w AS base_seq, count(*) OVER w AS n_ops, seq, type, user_key FROM op WINDOW w AS (PARTITION BY batch_no // 3)", BATCH),
+    "recovery_units": "WITH RECURSIVE " + BATCH + """,
+ walk AS (SELECT log_no, rec_no, batch_no, bytes AS used, CAST(0 AS BIGINT) AS unit FROM good WHERE rec_no = 0
+  UNION ALL SELECT r.log_no, r.rec_no, r.batch_no, CASE WHEN w.used > 1500 THEN r.bytes ELSE w.used + r.bytes END, CASE WHEN w.used > 1500 THEN w.unit + 1 ELSE w.unit END
+   FROM walk w JOIN good r ON r.log_no = w.log_no AND r.rec_no = w.rec_no + 1)
+SELECT log_no, batch_no, unit FROM walk""",
+    "store_reopened": """WITH op AS (SELECT printf('n%03d', n_nationkey) AS user_key, 2 * n_nationkey + 1 AS seq, 1 AS type, n_name AS value FROM nation
+      UNION ALL SELECT 'last' || n_nationkey % 3, 2 * n_nationkey + 2, 1, CAST(n_nationkey AS VARCHAR) FROM nation
+      UNION ALL SELECT printf('n%03d', n_nationkey), 2 * (SELECT count(*) FROM nation) + n_nationkey // 4 + 1, 0, NULL FROM nation WHERE n_nationkey % 4 = 0)
+      SELECT user_key, CAST(seq AS BIGINT) AS seq, type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM op) WHERE rn = 1""",
 }
 
 _SIZED = ENTRY + """,
@@ -174,6 +215,9 @@ _SIZED = ENTRY + """,
    CASE WHEN c.full THEN p.size ELSE c.used + p.size END >= 1024 FROM cut c JOIN placed p ON p.file_no = c.file_no AND p.pos = c.pos + 1)"""
 SQL["block_cut"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, pos, block_no FROM cut"
 SQL["index_separators"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, block_no, arg_max(user_key, pos) AS last_key, arg_max(seq, pos) AS last_seq, count(*) AS entries FROM cut JOIN placed USING (file_no, pos) GROUP BY ALL"
+SQL["restart_points"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, block_no, pos FROM (SELECT *, min(pos) OVER (PARTITION BY file_no, block_no) AS first FROM cut) WHERE (pos - first) % 16 = 0"
+SQL["block_cache_keys"] = f"""WITH RECURSIVE {_SIZED}, b AS (SELECT file_no, block_no, sum(placed.size) AS bytes FROM cut JOIN placed USING (file_no, pos) GROUP BY ALL)
+SELECT file_no, block_no AS block, CAST(file_no * 4294967296 + coalesce(sum(bytes) OVER (PARTITION BY file_no ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cache_key FROM b"""
 SQL["block_lookup"] = f"""WITH RECURSIVE {_SIZED}, sep AS (SELECT file_no, block_no, arg_max(user_key, pos) AS last_key FROM cut JOIN placed USING (file_no, pos) GROUP BY ALL)
-SELECT file_no, probe_id, min(block_no) AS block_no FROM sep JOIN (SELECT * FROM {PROBES} WHERE probe_id < 20) p ON last_key >= p.user_key GROUP BY file_no, probe_id"""
+SELECT file_no, probe_id, min(block_no) AS block_no FROM sep JOIN {PROBES} p ON last_key >= p.user_key GROUP BY file_no, probe_id"""
 SQL["block_count"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, count(DISTINCT block_no) AS blocks FROM cut GROUP BY file_no"

@@ -15,21 +15,24 @@ from .carriers import key
 #: shifts of the read stream's generator, and multiplier and modulus of the height generator.
 LCG_FACTOR, LCG_STEP, LCG_SHIFT = 6364136223846793005, 1442695040888963407, 20
 WRITE_SEED, READ_SEED = (2654435761, 1), (88172645463325252, 7)
+#: Thread seeds of the mixed workload.
+MIXED_WRITE_SEED, MIXED_READ_SEED = (1, 11), (99, 5)
 XORSHIFT = (13, 7, 17)
 PARK_MILLER = (48271, 2147483647)
+STRETCH = 1 << 18
 
 
-def write_stream(thread: int, count: int) -> np.ndarray:
+def write_stream(thread: int, count: int, seeds: tuple[int, int] = WRITE_SEED) -> np.ndarray:
     """Draws of a writer: all powers of the factor at once, so the whole stream is two cumulative operations."""
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(count, LCG_FACTOR, np.uint64))
         before = np.concatenate([[np.uint64(1)], powers[:-1]])
-        seed = np.uint64((thread * WRITE_SEED[0] + WRITE_SEED[1]) % (1 << 64))
+        seed = np.uint64((thread * seeds[0] + seeds[1]) % (1 << 64))
         return (powers * seed + np.uint64(LCG_STEP) * np.cumsum(before)) >> np.uint64(LCG_SHIFT)
 
 
-def read_stream(thread: int, count: int) -> np.ndarray:
-    seed, out, full = (thread * READ_SEED[0] + READ_SEED[1]) % (1 << 64), [], (1 << 64) - 1
+def read_stream(thread: int, count: int, seeds: tuple[int, int] = READ_SEED) -> np.ndarray:
+    seed, out, full = (thread * seeds[0] + seeds[1]) % (1 << 64), [], (1 << 64) - 1
     left, right, last = XORSHIFT
     for _ in range(count):
         seed ^= seed << left & full
@@ -52,22 +55,47 @@ def hot(draw: np.ndarray, n: int) -> np.ndarray:
     return np.where(draw % np.uint64(100) < 90, draw % np.uint64(n // 100 + 1), draw % np.uint64(n))
 
 
+def sequential(spark: SparkSession, n: int, threads: int) -> DataFrame:
+    """(thread, i, n, user_key) of fillseq: each thread's stretch of the keys in order."""
+    per = n // threads
+    at = spark.range(per * threads)
+    thread = F.floor(F.col("id") / per).cast("bigint")
+    return at.select(thread.alias("thread"), (F.col("id") % per).alias("i"), F.col("id").alias("n"), key(F.col("id")).alias("user_key"))
+
+
+def mixed(spark: SparkSession, n: int, ops: int, writers: int, readers: int) -> DataFrame:
+    """(role, thread, i, n) of writers at random keys and readers at hot ones, so many operations each."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for t in pdf["id"]:
+                if t < writers:
+                    drawn = write_stream(int(t), ops, MIXED_WRITE_SEED) % np.uint64(n)
+                else:
+                    drawn = hot(read_stream(int(t) - writers, ops, MIXED_READ_SEED), n)
+                own = t if t < writers else t - writers
+                yield pd.DataFrame({"role": "write" if t < writers else "read", "thread": own, "i": np.arange(ops), "n": drawn.astype(np.int64)})
+
+    return spark.range(writers + readers).mapInPandas(run, "role string, thread bigint, i bigint, n bigint")
+
+
 def keys(spark: SparkSession, kind: str, n: int, threads: int) -> DataFrame:
-    """(thread, i, n, user_key) of a workload: fillseq, fillrandom, readrandom, readhot or readmissing."""
+    """(thread, i, n, user_key) of a workload: fillrandom, readrandom, readhot or readmissing. A thread's draws follow
+    one another, so they are made in one task, a stretch at a time."""
     per = n // threads
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for t in pdf["id"]:
-                if kind == "fillseq":
-                    drawn = np.arange(t * per, (t + 1) * per, dtype=np.uint64)
-                elif kind == "fillrandom":
+                if kind == "fillrandom":
                     drawn = write_stream(int(t), per) % np.uint64(n)
                 else:
                     drawn = read_stream(int(t), per)
                     drawn = hot(drawn, n) if kind == "readhot" else drawn % np.uint64(n)
                     drawn = drawn | np.uint64(1) if kind == "readmissing" else drawn
-                yield pd.DataFrame({"thread": t, "i": np.arange(per), "n": drawn.astype(np.int64)})
+                for a in range(0, per, STRETCH):
+                    some = drawn[a : a + STRETCH].astype(np.int64)
+                    yield pd.DataFrame({"thread": t, "i": np.arange(a, a + len(some)), "n": some})
 
     drawn = spark.range(threads).mapInPandas(run, "thread bigint, i bigint, n bigint")
     return drawn.select("thread", "i", "n", key(F.col("n")).alias("user_key"))

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from palimpsest.operators import compact, files, read
+from palimpsest.operators import compact, files, ordered, read
 from palimpsest.options import Options
 from palimpsest.store import StatusError, Store
 
@@ -95,16 +96,52 @@ def test_superseded_counts_from_any_input_version(spark):
 
 
 def test_choice_takes_the_oldest_files_and_folds_the_last_tier(spark):
-    meta = spark.createDataFrame([(0, n) for n in (9, 7, 8)] + [(1, 1), (1, 2)], "tier int, file_no bigint")
-    pick = compact.choose(meta, Options(tier_trigger=2, max_tiers=3))
+    rows = [(0, n) for n in (9, 7, 8)] + [(1, 1), (1, 2)]
+    pick = compact.choose(rows, Options(tier_trigger=2, max_tiers=3))
     assert (pick.input_tier, pick.output_tier, pick.inputs) == (0, 1, (7, 8))
-    pick = compact.choose(meta.where("tier = 1"), Options(tier_trigger=2, max_tiers=2))
+    pick = compact.choose(rows[3:], Options(tier_trigger=2, max_tiers=2))
     assert (pick.input_tier, pick.output_tier, pick.inputs) == (1, 1, (1, 2))
-    pick = compact.choose(meta, Options(tier_trigger=2, max_tiers=1))
+    pick = compact.choose(rows, Options(tier_trigger=2, max_tiers=1))
     assert (pick.input_tier, pick.output_tier, pick.inputs) == (0, 0, (7, 8, 9))
-    pick = compact.choose(meta.where("tier = 0"), Options(tier_trigger=3, max_tiers=2))
+    pick = compact.choose(rows[:3], Options(tier_trigger=3, max_tiers=2))
     assert pick.output_tier == 1
-    assert compact.choose(meta, Options(tier_trigger=4)) is None
+    assert compact.choose(rows, Options(tier_trigger=4)) is None
+    meta = spark.createDataFrame(rows, "tier int, file_no bigint")
+    for o in (Options(tier_trigger=2, max_tiers=3), Options(tier_trigger=2, max_tiers=2), Options(tier_trigger=3, max_tiers=7)):
+        pick = compact.choose(rows, o)
+        got = {(r.file_no, r.output_tier) for r in compact.picked(meta, o).collect()}
+        assert got == {(n, pick.output_tier) for n in pick.inputs}
+
+
+def test_the_loop_against_a_simulation(spark):
+    """Compaction over many flushes: the same files, tiers and entries as merging lists one after another."""
+    rng, o = random.Random(3), Options(tier_trigger=3, max_tiers=4)
+    rows = [(s, int(rng.random() > 0.4), f"k{rng.randint(s // 40, 20 + s // 20):03d}", "v", (s - 1) // 9, 0) for s in range(1, 400)]
+    live: dict = {}
+    for r in rows:
+        live.setdefault((0, r[4]), []).append(r)
+    number, oldest = max(n for _, n in live), 300
+    while pick := compact.choose(live, o):
+        mine = [r for n in pick.inputs for t, m in list(live) if m == n for r in live.pop((t, n))]
+        others = [(min(x[2] for x in e), max(x[2] for x in e)) for (t, _), e in live.items() if t >= pick.output_tier]
+        number += 1
+        kept = []
+        for key in {r[2] for r in mine}:
+            newer = 1 << 60
+            for r in sorted((r for r in mine if r[2] == key), reverse=True):
+                hidden = any(a <= key <= b for a, b in others)
+                if newer > oldest and not (r[1] == 0 and r[0] <= oldest and not hidden):
+                    kept.append(r)
+                newer = r[0]
+        if kept:
+            live[pick.output_tier, number] = kept
+        if pick.input_tier == pick.output_tier == o.max_tiers - 1:
+            break
+    got: dict = {}
+    for r in compact.compact_all(entries(spark, rows), oldest, o).collect():
+        got.setdefault((r.tier, r.file_no), []).append(r.seq)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(r[0] for r in v) for k, v in live.items()}
+    assert len({t for t, _ in got}) > 1
 
 
 def test_empty_log(spark):
@@ -113,11 +150,112 @@ def test_empty_log(spark):
     assert read.reverse_scan(e).count() == 0
 
 
-def test_seek_beyond_the_broadcast_bound(spark, monkeypatch):
-    view = spark.createDataFrame([(f"k{n:03d}", "v") for n in range(0, 100, 3)], "user_key string, value string")
-    targets = spark.createDataFrame([(f"k{n:03d}",) for n in range(-1, 103, 2) if n >= 0], "target string")
-    for backwards in (False, True):
-        small = {(r.target, r.found_key) for r in read.seek_all(view, targets, backwards).collect()}
-        monkeypatch.setattr(read, "BROADCAST_TARGETS", 3)
-        assert {(r.target, r.found_key) for r in read.seek_all(view, targets, backwards).collect()} == small
-        monkeypatch.undo()
+def test_seeks_against_bisection(spark):
+    keys = [f"k{n:03d}" for n in range(0, 100, 3)]
+    view = spark.createDataFrame([(k, "v") for k in keys], "user_key string, value string")
+    asked = [f"k{n:03d}" for n in range(0, 103)]
+    targets = spark.createDataFrame([(t,) for t in asked + asked[:5]], "target string")
+    ahead = {(r.target, r.found_key) for r in read.seek_all(view, targets).collect()}
+    assert ahead == {(t, next((k for k in keys if k >= t), None)) for t in asked}
+    back = {(r.target, r.found_key) for r in read.seek_all(view, targets, backwards=True).collect()}
+    assert back == {(t, max((k for k in keys if k < t), default=None)) for t in asked}
+    steps = {(r.target, r.step): r.user_key for r in read.seek_next(view, targets, 2).collect()}
+    assert steps == {(t, i): k for t in asked for i, k in enumerate([k for k in keys if k >= t][:2])}
+
+
+def test_orders_over_many_stretches(spark):
+    """One hot key over several tasks: places, running totals and values carried from stretch to stretch."""
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randint(0, 9)}", i, rng.choice([None, None, i]), rng.randint(0, 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_key string, seq bigint, v bigint, n bigint").repartition(7)
+    line = sorted(rows)
+    got = {r.seq: r.rank for r in ordered.ranked(df, "user_key", "seq").collect()}
+    assert got == {r[1]: i + 1 for i, r in enumerate(line)}
+    got, total = {r.seq: r.s for r in ordered.running_total(df, "n", "s", "user_key", "seq", inclusive=False).collect()}, 0
+    for r in line:
+        assert got[r[1]] == total
+        total += r[3]
+    for group in ("user_key", None):
+        got, last, before = {r.seq: r.v for r in ordered.carried(df, group, "v", *(["seq"] if group else ["user_key", "seq"])).collect()}, None, None
+        for r in line:
+            last = r[2] if r[2] is not None else last if group is None or r[0] == before else None
+            before = r[0]
+            assert got[r[1]] == last
+    m = df.select("seq", F.lit(1).alias("type"), "user_key", F.lit("x").alias("value"))
+    newer = {}
+    for r in sorted(rows, key=lambda r: -r[1]):
+        newer.setdefault(r[0], []).append(r[1])
+    want = {(k, s, i + 1, seqs[i - 1] if i else None) for k, seqs in newer.items() for i, s in enumerate(seqs)}
+    assert {(r.user_key, r.seq, r.version, r.superseded_by) for r in read.history(m).collect()} == want
+
+
+def test_ranges_over_points(spark):
+    rng = random.Random(2)
+    ranges_ = [(i, *sorted((f"k{rng.randint(0, 30):02d}", f"k{rng.randint(0, 30):02d}"))) for i in range(40)]
+    meta = spark.createDataFrame(ranges_, "file_no bigint, smallest string, largest string")
+    points = [(i, f"k{i % 33:02d}") for i in range(90)]
+    probes = spark.createDataFrame(points, "probe_id bigint, user_key string")
+    got = {r.probe_id: r.files for r in files.consulted(probes, meta).collect()}
+    assert got == {i: sum(a <= k <= b for _, a, b in ranges_) for i, k in points}
+    got = {r.file_no: r.overlaps for r in files.overlaps(meta).collect()}
+    assert got == {i: sum(a <= d and c <= b for j, c, d in ranges_ if j != i) for i, a, b in ranges_}
+
+
+def test_a_store_opened_again(spark, tmp_path):
+    path, o = f"file://{tmp_path}/s", Options(tier_trigger=2, write_buffer_bytes=300)
+    rng, model = random.Random(5), {}
+    for session in range(3):
+        s = Store(spark, o, path=path)
+        assert {r.user_key: r.value for r in s.scan().collect()} == model
+        for _ in range(15):
+            k, v = f"k{rng.randint(0, 9)}", f"v{rng.random()}"
+            if rng.random() < 0.3:
+                s.delete(k)
+                model.pop(k, None)
+            else:
+                s.put(k, v)
+                model[k] = v
+        if session == 1:
+            s.compact()
+            s.rotate_manifest()
+        assert all(s.get(k) == v for k, v in list(model.items())[:2])
+        assert s.property("writes") == 15 and "wal-syncs" in s.property("stats") and s.property("memtable-bytes") <= 300
+        last = s.last_sequence
+        # left without closing: what was written must come back from the logs
+    s = Store(spark, o, path=path)
+    assert s.last_sequence == last == 45
+    names = s.folder.names()
+    assert sum(n.startswith("MANIFEST") for n in names) == 1 and sum(n.endswith(".log") for n in names) <= 1
+    with pytest.raises(StatusError, match="InvalidArgument"):
+        Store(spark, o, path=path, fresh=True)
+    with pytest.raises(StatusError, match="NotFound"):
+        Store(spark, o, path=f"{path}-none", create=False)
+    two = Store(spark, o, path=path)
+    two.put("a", "b")
+    two.flush()
+    s.put("a", "c")
+    with pytest.raises(StatusError, match="another writer"):
+        s.flush()
+    s.folder.write("CURRENT", b"MANIFEST-000002", replace=True)
+    with pytest.raises(StatusError, match="Corruption"):
+        Store(spark, o, path=path)
+
+
+def test_a_torn_log_and_byte_keys(spark, tmp_path):
+    path = f"file://{tmp_path}/b"
+    s = Store(spark, path=path, binary=True)
+    keys = [b"\x00", b"\xff\xfe", b"a", b"a\x00", b"\x80"]
+    for i, k in enumerate(keys):
+        s.put(k, bytes([i, 255 - i]))
+    log = next(n for n in s.folder.names() if n.endswith(".log"))
+    part = s.folder.names(log)[-1]
+    s.folder.write(f"{log}/{part}", s.folder.read(f"{log}/{part}")[:-1], replace=True)
+    again = Store(spark, path=path, binary=True)
+    assert [bytes(r.user_key) for r in read.ordered_scan(again.log()).orderBy("rank").collect()] == sorted(keys[:-1])
+    assert again.get(b"\xff\xfe") == bytes([1, 254]) and again.last_sequence == 4
+    with pytest.raises(StatusError, match="NotFound"):
+        again.get(b"\x80")
+    again.put(b"\x80", b"")
+    again.compact()
+    assert again.get(b"\x80") == b"" and {m["largest"] for m in again.live.values()} >= {b"\xff\xfe"}
+    assert Store(spark, path=path, binary=True).get(b"a\x00") == bytes([3, 252])
