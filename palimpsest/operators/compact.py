@@ -57,7 +57,32 @@ def oldest_snapshot(m: DataFrame, snapshots: DataFrame) -> DataFrame:
     return m.agg(F.max("seq").alias("last")).crossJoin(snapshots.agg(F.min("seq").alias("low"))).select(F.coalesce("low", "last", F.lit(0)).cast("bigint").alias("oldest"))
 
 
-def judged(inputs: DataFrame, others: DataFrame, oldest: int | Column) -> DataFrame:
+def united(ranges: Iterable[tuple]) -> list[tuple]:
+    """Ranges (smallest, largest) with those that touch made one."""
+    out: list[tuple] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+FEW_RANGES = 1000
+
+
+def _uncovered(keys: DataFrame, others: DataFrame | list[tuple]) -> DataFrame:
+    """The keys (key) that no range holds. A list's ranges are united first; few of them are tested in place, more are
+    counted in one order with the keys."""
+    if isinstance(others, list):
+        ranges, kind = united(others), keys.schema["key"].dataType.simpleString()
+        others = keys.sparkSession.createDataFrame(ranges, f"smallest {kind}, largest {kind}")
+        if len(ranges) <= FEW_RANGES:
+            return keys.join(F.broadcast(others), F.col("key").between(F.col("smallest"), F.col("largest")), "left_anti")
+    return covering(keys, others, "holding").where("holding = 0").select("key")
+
+
+def judged(inputs: DataFrame, others: DataFrame | list[tuple], oldest: int | Column) -> DataFrame:
     """Input entries with their fate: superseded (a newer input version is visible to every snapshot), tombstone (a
     deletion no snapshot needs, over keys that no other file from the output tier down can hold) or kept.
 
@@ -68,13 +93,13 @@ def judged(inputs: DataFrame, others: DataFrame, oldest: int | Column) -> DataFr
     seen = F.col("seq") <= oldest
     tops = inputs.where(seen).groupBy("user_key").agg(F.max("seq").alias("top"), F.max_by("type", "seq").alias("top_type"))
     dead = tops.where(F.col("top_type") == DELETION).select(F.col("user_key").alias("key"))
-    free = covering(dead, others, "holding").where("holding = 0").select(F.col("key").alias("user_key"), F.lit(True).alias("free"))
+    free = _uncovered(dead, others).select(F.col("key").alias("user_key"), F.lit(True).alias("free"))
     both = inputs.join(tops.join(free, "user_key", "left"), "user_key", "left")
     fate = F.when(F.col("seq") < F.col("top"), "superseded").when((F.col("seq") == F.col("top")) & F.col("free"), "tombstone").otherwise("kept")
     return both.withColumn("fate", fate).drop("top", "top_type", "free")
 
 
-def merged(inputs: DataFrame, others: DataFrame, oldest: int | Column) -> DataFrame:
+def merged(inputs: DataFrame, others: DataFrame | list[tuple], oldest: int | Column) -> DataFrame:
     """The entries that a compaction of the inputs writes."""
     return judged(inputs, others, oldest).where("fate = 'kept'").drop("fate")
 
@@ -86,9 +111,7 @@ def run_once(
     None if nothing is left. live: metadata by file number."""
     mine = read(pick.inputs)
     spark = mine.sparkSession
-    ends = [(m["smallest"], m["largest"]) for n, m in live.items() if m["tier"] >= pick.output_tier and n not in pick.inputs]
-    key = mine.schema["user_key"].dataType.simpleString()
-    others = spark.createDataFrame(ends, f"smallest {key}, largest {key}")
+    others = [(m["smallest"], m["largest"]) for n, m in live.items() if m["tier"] >= pick.output_tier and n not in pick.inputs]
     write_run(merged(mine, others, oldest), path, o.bloom_bits_per_key)
     return run_stats(spark.read.schema(mine.schema).parquet(path), number, pick.output_tier)
 

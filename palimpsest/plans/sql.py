@@ -221,3 +221,32 @@ SELECT file_no, block_no AS block, CAST(file_no * 4294967296 + coalesce(sum(byte
 SQL["block_lookup"] = f"""WITH RECURSIVE {_SIZED}, sep AS (SELECT file_no, block_no, arg_max(user_key, pos) AS last_key FROM cut JOIN placed USING (file_no, pos) GROUP BY ALL)
 SELECT file_no, probe_id, min(block_no) AS block_no FROM sep JOIN {PROBES} p ON last_key >= p.user_key GROUP BY file_no, probe_id"""
 SQL["block_count"] = f"WITH RECURSIVE {_SIZED} SELECT file_no, count(DISTINCT block_no) AS blocks FROM cut GROUP BY file_no"
+
+
+def _product(a: str, b: str) -> str:
+    """a * b in 64 bits."""
+    return f"((({a}) % 4294967296) * {b} + ((({a}) // 4294967296) * {b}) % 4294967296 * 4294967296) % 18446744073709551616"
+
+
+def _word(first: int) -> str:
+    """Eight bytes of user_key from a place on, little-endian."""
+    return " + ".join(f"CAST(ascii(user_key[{first + i}]) AS HUGEINT) * {256**i}" for i in range(8))
+
+
+_M = "14313749767032793493"
+# Keys have 16 bytes, two words: the hash of each, folded into the seed and the length.
+SQL["hash64_keys"] = f"""WITH {MUTATION},
+ k AS (SELECT DISTINCT user_key FROM mutation),
+ a AS (SELECT user_key, {_product(_word(1), _M)} AS x, {_product(_word(9), _M)} AS y, xor(CAST(11400714819323198485 AS HUGEINT), {_product("CAST(16 AS HUGEINT)", _M)}) AS h FROM k),
+ b AS (SELECT user_key, h, {_product("xor(x, x // 140737488355328)", _M)} AS x, {_product("xor(y, y // 140737488355328)", _M)} AS y FROM a),
+ c AS (SELECT user_key, y, {_product("xor(h, x)", _M)} AS h FROM b),
+ e AS (SELECT user_key, {_product("xor(h, y)", _M)} AS h FROM c),
+ f AS (SELECT user_key, {_product("xor(h, h // 140737488355328)", _M)} AS h FROM e),
+ g AS (SELECT user_key, xor(h, h // 140737488355328) AS h FROM f)
+SELECT user_key, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM g"""
+SQL["crc32c_records"] = f"""WITH RECURSIVE {MUTATION},
+ bits AS (SELECT CAST(i AS BIGINT) AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+ tab AS (SELECT b, c FROM bits WHERE k = 8),
+ walk AS (SELECT seq, coalesce(value, '') AS v, 0 AS done, CAST(4294967295 AS BIGINT) AS c FROM mutation
+  UNION ALL SELECT seq, v, done + 1, xor(t.c, w.c >> 8) FROM walk w JOIN tab t ON t.b = xor(w.c, ascii(v[done + 1])) & 255 WHERE done < strlen(v))
+SELECT seq, xor(c, 4294967295) AS crc FROM walk WHERE done = strlen(v)"""
