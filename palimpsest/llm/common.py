@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zlib
@@ -100,9 +101,14 @@ def unused(name: str, df: DataFrame) -> str:
     return next(n for n in (f"_{name}{k}" for k in range(len(taken) + 1)) if n not in taken)
 
 
-def rows_a_task(df: DataFrame, rows: int, least: int = 1) -> int:
-    """How many partitions a shuffle of df needs for about so many rows in each."""
-    return max(least, -(-df.count() // rows))
+PART_BYTES = 64 << 20
+
+
+def parts_for(spark: SparkSession, path: str) -> int:
+    """Partitions for a shuffle of the files in a folder, at PART_BYTES each, and not fewer than the session's number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()  # noqa: SLF001
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
 
 
 def fold_bucket(column: str | Column, modulus: int) -> Column:
@@ -156,6 +162,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             at = to
 
 
+def first_of_each(examples: DataFrame, key: str) -> DataFrame:
+    """One row of each key, the least by all other columns, so that reruns choose the same one."""
+    others = [c for c in examples.columns if c != key]
+    least = examples.groupBy(key).agg(F.min(F.struct(*others)).alias("least"))
+    return least.select(key, *(F.col("least")[c].alias(c) for c in others))
+
+
 def fitted(examples: DataFrame, fit) -> bytes:
     """What fit (batches to one batch of one binary) makes of a bounded number of rows, in one task."""
     row = examples.coalesce(1).mapInArrow(fit, "model binary").first()

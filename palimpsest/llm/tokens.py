@@ -38,6 +38,21 @@ _SPACED_LOW[65:91] += 32
 _TOGETHER = 384  # chunks in a text: larger ones take the library longer for each chunk
 
 
+def short_keys(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(chunks, 2) words: up to 15 bytes, zeros, and the length as the last byte."""
+    size = np.diff(off)
+    padded = np.concatenate([buf, np.zeros(16, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1))
+    out = np.empty((len(size), 2), np.uint64)
+    for half in (0, 1):
+        word = eights[off[:-1] + 8 * half].view(np.uint64)[:, 0]
+        kept = np.clip(size - 8 * half, 0, 8).astype(np.uint64) * np.uint64(8)
+        full = kept == 64
+        out[:, half] = np.where(full, word, word & ((np.uint64(1) << np.where(full, np.uint64(0), kept)) - np.uint64(1)))
+    out[:, 1] |= size.astype(np.uint64) << np.uint64(56)
+    return out
+
+
 class _Table:
     """Chunks of up to 15 bytes to places, by open addressing over their exact bytes; whole arrays at a time."""
 
@@ -46,21 +61,6 @@ class _Table:
         self.where = np.full(1 << bits, -1, np.int32)
         self.key = np.zeros((1 << 16, 2), np.uint64)
 
-    @staticmethod
-    def keys(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(chunks, 2) words: up to 15 bytes, zeros, and the length as the last byte."""
-        size = np.diff(off)
-        padded = np.concatenate([buf, np.zeros(16, np.uint8)])
-        eights = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1))
-        out = np.empty((len(size), 2), np.uint64)
-        for half in (0, 1):
-            word = eights[off[:-1] + 8 * half].view(np.uint64)[:, 0]
-            kept = np.clip(size - 8 * half, 0, 8).astype(np.uint64) * np.uint64(8)
-            full = kept == 64
-            out[:, half] = np.where(full, word, word & ((np.uint64(1) << np.where(full, np.uint64(0), kept)) - np.uint64(1)))
-        out[:, 1] |= size.astype(np.uint64) << np.uint64(56)
-        return out
-
     def _home(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = (keys[:, 0] ^ (keys[:, 0] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + keys[:, 1]
@@ -191,7 +191,7 @@ class Encoder:
         buf, off = binary_values(words)
         short = np.diff(off) <= 15
         out = np.full(len(words), -1, np.int64)
-        keys = _Table.keys(buf, off)
+        keys = short_keys(buf, off)
         out[short] = self.table.find(keys[short])
 
         def chunks(places: np.ndarray) -> list[str]:
@@ -212,11 +212,21 @@ class Encoder:
         at += np.arange(len(at))
         return self.flat[at], np.concatenate([[0], ends])
 
+    def words(self, words: pa.Array, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words[where] in a row, each encoded alone with a space before it, and their offsets. The words differ."""
+        self._trim()
+        if not len(where):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        return self._gather(self._entries_of(words)[where])
+
+    def _trim(self) -> None:
+        if self.entries > self.most_chunks or self.used > 8 * self.most_chunks or len(self.others) > self.most_chunks // 10:
+            self._reset()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and n+1 offsets of the texts in them. Nulls are empty texts."""
         texts = text_array(*binary_values(texts))
-        if self.entries > self.most_chunks or self.used > 8 * self.most_chunks or len(self.others) > self.most_chunks // 10:
-            self._reset()
+        self._trim()
         rare = np.asarray(pc.match_substring_regex(texts, _RARE_SPACE))
         if self.drops_space:
             plain = ~rare
