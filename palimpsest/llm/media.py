@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import discard, materialize, new_path, sliced, table
 
 PAD_TO = 576
 PAD_BYTE = 255
@@ -543,7 +543,8 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every row's text as UTF-8 (null: empty), padded and stored as a progressive JPEG.
-    Other columns are ignored; repeated rows give repeated results, equal texts equal files."""
+    Other columns are ignored; repeated rows give repeated results, equal texts equal files; a long text is one large file;
+    an empty table gives an empty result."""
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return ids.mapInArrow(_encode_batches, "doc_id bigint, n_bytes bigint, media binary")
 
@@ -554,33 +555,66 @@ def _feature(tensor: np.ndarray) -> str:
     return f"{h}x{w}x3 rgb mean {means} crc32 {zlib.crc32(tensor.tobytes()):08x}"
 
 
-_READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+_TENSOR = "height bigint, width bigint, rgb binary"
 
 
-def _read_batches(with_tensor: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "media", 2 << 20):
-            files = batch.column("media").to_pylist()
-            rows: list[tuple] = [()] * len(files)
-            for places, coefficients, cols, height in read_files(files):
-                payloads, tensors = payload_of(coefficients), rgb(coefficients, cols, height)
-                for i, payload, tensor in zip(places, payloads, tensors):
-                    data = payload.tobytes()[: payload_length(files[i])]
-                    own = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(files[i]), hashlib.sha256(files[i]).hexdigest(), _feature(tensor))
-                    rows[i] = own + ((tensor.shape[0], tensor.shape[1], tensor.tobytes(), data) if with_tensor else ())
-            cols_out = [pa.array(c) for c in zip(*rows)]
-            names = [x.split()[0] for x in _READ.split(", ")] + (["height", "width", "rgb", "payload"] if with_tensor else [])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *cols_out], names=["doc_id", "n_bytes", *names])
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in f"{_READ}, {_TENSOR}, payload binary".split(", ")]
+    for batch in sliced(batches, "media", 2 << 20):
+        files = batch.column("media").to_pylist()
+        rows: list[tuple] = [()] * len(files)
+        for places, coefficients, cols, height in read_files(files):
+            payloads, tensors = payload_of(coefficients), rgb(coefficients, cols, height)
+            for i, payload, tensor in zip(places, payloads, tensors):
+                data = payload.tobytes()[: payload_length(files[i])]
+                digests = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(files[i]), hashlib.sha256(files[i]).hexdigest())
+                rows[i] = (*digests, tensor.shape[0], tensor.shape[1], tensor.tobytes(), data)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c) for c in zip(*rows))], names=["doc_id", "n_bytes", *names])
 
-    return run
+
+def read_media(media: DataFrame) -> DataFrame:
+    """Reads the bytes of a media column back: digests of payload and file, the tensor (height, width and rgb, row-major
+    height x width x 3 bytes) and the payload. An empty table gives an empty result."""
+    return media.mapInArrow(_read_batches, f"doc_id bigint, n_bytes bigint, {_READ}, {_TENSOR}, payload binary")
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, "rgb", 4 << 20):
+        shapes = zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("rgb").to_pylist())
+        features = [_feature(np.frombuffer(data, np.uint8).reshape(h, w, 3)) for h, w, data in shapes]
+        kept = [i for i, n in enumerate(batch.schema.names) if n not in ("height", "width", "rgb")]
+        yield pa.record_batch([*(batch.column(i) for i in kept), pa.array(features, pa.string())], names=[*(batch.schema.names[i] for i in kept), "feature"])
+
+
+def features(tensors: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, digests, feature) of stored tensors, as store_media() writes them."""
+    return tensors.mapInArrow(_feature_batches, f"doc_id bigint, n_bytes bigint, {_READ}, feature string")
+
+
+def store_media(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the media column of docs to path/media, reads it back from there, and writes the tensors with the digests
+    of what was read to path/tensors. Returns the stored tensors."""
+    spark = docs.sparkSession
+    to_media(docs).write.option("compression", "zstd").parquet(f"{path}/media")
+    media = spark.read.schema("doc_id bigint, n_bytes bigint, media binary").parquet(f"{path}/media")
+    read_media(media).drop("payload").write.option("compression", "zstd").parquet(f"{path}/tensors")
+    return spark.read.schema(f"doc_id bigint, n_bytes bigint, {_READ}, {_TENSOR}").parquet(f"{path}/tensors")
 
 
-def read_media(media: DataFrame, with_tensor: bool = True) -> DataFrame:
-    """Reads the stored bytes of a media column back: payload and file digests, feature, and with with_tensor also
-    height, width, rgb (row-major height x width x 3 bytes) and payload."""
-    more = ", height bigint, width bigint, rgb binary, payload binary" if with_tensor else ""
-    return media.mapInArrow(_read_batches(with_tensor), f"doc_id bigint, n_bytes bigint, {_READ}{more}")
+SLICES = 8
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_media(to_media(table(spark, sf_dir, "documents")), with_tensor=False)
+    """Media and tensors are stored for one slice of the documents after another, by a hash of the text; a slice's files
+    are deleted when its features, read from them, are stored. So they take the disk of one slice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = []
+    for k in range(SLICES):
+        path = new_path(spark, "media")
+        mine = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k)
+        tensors = store_media(mine, path)
+        tensors._stored_at = path  # noqa: SLF001
+        done.append(materialize(features(tensors), "media-features"))
+        discard(tensors)
+    return spark.read.schema(done[0].schema).parquet(*(d._stored_at for d in done))  # noqa: SLF001

@@ -91,5 +91,25 @@ def test_documents(make):
     for r in got:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) in want[r.doc_id]
         assert len(r.rgb) == 3 * r.height * r.width and hashlib.sha256(bytes(r.payload)).hexdigest() == r.payload_sha256
-    assert len({(r.media_sha256, r.feature) for r in got if r.doc_id == 3 and r.n_bytes == 5}) == 1
+    assert len({(r.media_sha256, bytes(r.rgb)) for r in got if r.doc_id == 3 and r.n_bytes == 5}) == 1
     assert media.read_media(media.to_media(make(rows).limit(0))).count() == 0
+
+
+def test_stored_media_and_tensors(spark, make, tmp_path):
+    """Features come from the files: a damaged file is noticed, and the query leaves only its result."""
+    rows = list(enumerate(ODD)) + [(3, "twice"), (3, "twice"), (None, "null id")]
+    tensors = media.store_media(make(rows), f"file://{tmp_path}/m")
+    got = {(r.doc_id, r.n_bytes): r for r in media.features(tensors).collect()}
+    stored = spark.read.parquet(f"file://{tmp_path}/m/media").collect()
+    assert len(stored) == len(rows) == tensors.count()
+    for r in stored:
+        data = bytes(r.media)
+        (_, coefficients, cols, high), = media.read_files([data])
+        tensor = media.rgb(coefficients, cols, high)[0]
+        row = got[r.doc_id, r.n_bytes]
+        assert row.feature == media._feature(tensor) and row.media_sha256 == hashlib.sha256(data).hexdigest()
+    assert media.features(media.store_media(make(rows).limit(0), f"file://{tmp_path}/n")).count() == 0
+    docs = tmp_path / "sf" / "documents.parquet"
+    make(rows).write.parquet(f"file://{docs}")
+    out = media.op9_media(spark, f"file://{tmp_path}/sf").collect()
+    assert sorted((repr(r.doc_id), r.feature, r.payload_sha256) for r in out) == sorted((repr(r.doc_id), r.feature, r.payload_sha256) for r in media.features(tensors).collect())
