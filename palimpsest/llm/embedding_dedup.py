@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
+from .common import connected_components, materialize, parts_for, table
 
 THRESHOLD = 0.93
 WIDTH = 1.5
@@ -55,10 +55,17 @@ def _directions(dim: int, projections: int, tables: int) -> tuple[np.ndarray, np
     return a, b, mix
 
 
+def unit_vectors(v: np.ndarray) -> np.ndarray:
+    """Each row over its length; first over its largest component, as squares of very large or small ones overflow."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def buckets(unit: np.ndarray, projections: int, tables: int) -> np.ndarray:
     """(vectors, tables) int64 bucket keys of unit vectors."""
     a, b, mix = _directions(unit.shape[1], projections, tables)
-    cells = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), tables, projections)
+    # Rounded, so that a product of other rows beside a vector, which may differ in its last bits, gives the same cell.
+    cells = np.floor(np.round((unit @ a + b) / WIDTH, 9)).astype(np.int64).reshape(len(unit), tables, projections)
     with np.errstate(over="ignore"):
         keys = (cells * mix).sum(axis=2) + np.arange(tables) * np.int64(0x632BE59BD9B4E019 - (1 << 62))
         keys ^= keys >> 29
@@ -73,8 +80,7 @@ def _hashed(projections: int, tables: int):
             keys = np.zeros((len(vectors), tables), np.int64)
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                v = np.array([vectors[i] for i in rows], np.float64)
-                keys[rows] = buckets(v / np.linalg.norm(v, axis=1, keepdims=True), projections, tables)
+                keys[rows] = buckets(unit_vectors(np.array([vectors[i] for i in rows], np.float64)), projections, tables)
             flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
             yield pa.record_batch([batch.column("rep"), flat], names=["rep", "keys"])
 
@@ -96,14 +102,15 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 class _Group:
     """Rows that share a bucket and a pair of blocks, as arrays."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, projections: int, tables: int):
         self.rep = np.asarray(batch.column("rep"))
         self.n = np.asarray(batch.column("n"))
         self.side = np.asarray(batch.column("side"))
         self.nth = np.asarray(batch.column("nth"))
-        self.keys = np.asarray(batch.column("keys").flatten()).reshape(batch.num_rows, -1)
         v = np.asarray(batch.column("vector").flatten()).astype(np.float64).reshape(batch.num_rows, -1)
-        self.unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        self.unit = unit_vectors(v)
+        # Keys are cheaper to make again than to send with every row.
+        self.keys = buckets(self.unit, projections, tables)
         cells = [np.asarray(batch.column(c)) for c in ("bucket", "one", "two")]
         self.starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cells], axis=0)]))
         self.ends = np.append(self.starts[1:], batch.num_rows)
@@ -120,11 +127,11 @@ class _Group:
         return alive
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, projections: int, tables: int):
     """Sorted rows to (kind, a, b): kind 0, class a links b vectors more; kind 1, classes a and b are connected."""
 
     def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
-        g = _Group(batch)
+        g = _Group(batch, projections, tables)
         sizes = g.ends - g.starts
         found_i, found_j, edges = [], [], []
         small = np.repeat((sizes <= _SMALL), sizes)
@@ -199,11 +206,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float =
 
     A row that has a null vec_id, label or embedding, an empty or zero vector or a null or non-finite component links
     with nothing (its component is its own vec_id). Vectors of unequal length never link. Repeated rows are vectors of
-    their own that link with one another. An empty table gives an empty result; other columns are ignored.
+    their own that link with one another. Vectors of doubles are compared as such, all others as floats. An empty table
+    gives an empty result; other columns are ignored.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"), F.col("label").cast("bigint").alias("label"))
-    # Adding 0 turns -0 into 0; huge and tiny floats stay finite in double precision.
+    kind = "array<double>" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"), F.col("label").cast("bigint").alias("label"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & sound & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
@@ -224,10 +231,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float =
     pairs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     met = met.select("rep", "nth", "bucket", "own", pairs)
     met = met.select("rep", "nth", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    full = met.join(classes.select("rep", "n", "vector", F.size("vector").alias("dim")).join(hashed, "rep"), "rep")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    full = met.join(classes.select("rep", "n", "vector", F.size("vector").alias("dim")), "rep")
+    parts = parts_for(vectors.sparkSession, lines._stored_at)
     order = ["bucket", "one", "two"]
-    compared = full.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare(threshold), "kind bigint, a bigint, b bigint")
+    compared = full.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare(threshold, projections, tables), "kind bigint, a bigint, b bigint")
     compared = materialize(compared, "vec-compared")
     counts = compared.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("more"))
     edges = compared.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
