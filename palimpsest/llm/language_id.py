@@ -22,30 +22,81 @@ from .common import fitted, materialize, sliced, table
 from .textscan import letter_tables, mixed
 
 BITS = 16
-SAMPLE_DOCS = 4_000
-MOST_LANGUAGES = 64
+SAMPLE_DOCS = 1_000  # documents of each language
+MOST_LANGUAGES = 256  # more are refused: the model is broadcast
 SMOOTH = 0.3
 #: Trigrams that count in full; the evidence of longer texts grows with their root.
 FULL_TRIGRAMS = 60
 PULL = 4.0  # how many pages of its parent a host, domain or suffix counts for
 
-_HIDDEN = re.compile(rb"(?is)<(script|style|noscript|template|head|nav|footer|aside)\b.*?</\1\s*>|<!--.*?-->")
-_MAIN = re.compile(rb"(?is)<(article|main)\b[^>]*>(.*)</\1\s*>")
-_TAG = re.compile(rb"(?s)<[^>]*>")
-_DECLARED = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
-_DECLARED_META = re.compile(rb"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+_HIDE = (b"script", b"style", b"noscript", b"template", b"head", b"nav", b"footer", b"aside")
+_HIDDEN = re.compile(rb"(?i)<(?:(" + b"|".join(_HIDE) + rb")\b|!--)")
+_CLOSES = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (*_HIDE, b"article", b"main")}
+_MAIN = re.compile(rb"(?i)<(article|main)\b")
+_TAG = re.compile(rb"<[^>]*>")
+_HTML = re.compile(rb"(?i)<html\b")
+_META = re.compile(rb"(?i)<meta\b")
+_LANG = re.compile(rb"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+_CONTENT_LANGUAGE = re.compile(rb"(?i)content-language")
+_CONTENT = re.compile(rb"(?i)content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+
+
+def _without_hidden(page: bytes) -> bytes:
+    """The page without comments and elements that aren't read. One that never closes hides nothing; that it doesn't is
+    found once for each name, so the scan is linear whatever the page."""
+    out, at, copied, open_for_ever = [], 0, 0, set()
+    while m := _HIDDEN.search(page, at):
+        name, at = (m[1] or b"").lower(), m.end()
+        if name in open_for_ever:
+            continue
+        if name:
+            close = _CLOSES[name].search(page, at)
+            end = close.end() if close else -1
+        else:
+            end = page.find(b"-->", at) + 3 if page.find(b"-->", at) >= 0 else -1
+        if end < 0:
+            open_for_ever.add(name)
+            continue
+        out += [page[copied : m.start()], b" "]
+        at = copied = end
+    return b"".join([*out, page[copied:]])
+
+
+def _main_part(page: bytes) -> bytes:
+    """From the first <article> or <main> that closes to the last such close, or the whole page."""
+    last = {}
+    for m in _MAIN.finditer(page):
+        name = m[1].lower()
+        if name not in last:
+            last[name] = max((c.start() for c in _CLOSES[name].finditer(page)), default=-1)
+        begin = page.find(b">", m.end()) + 1
+        if begin and begin <= last[name]:
+            return page[begin : last[name]]
+    return page
 
 
 def visible(page: bytes) -> bytes:
-    """Text of a page's main part, or of its body if it marks none; entities are decoded."""
-    shown = _HIDDEN.sub(b" ", page)
-    main = _MAIN.search(shown)
-    text = _TAG.sub(b" ", main[2] if main else shown)
+    """Text of a page's main part (that is the feature: navigation and the like says little of a page's language), or of
+    its body if it marks none; entities are decoded. Linear in the page's length."""
+    shown = _main_part(_without_hidden(page))
+    closed = shown.rfind(b">") + 1  # no tag ends after it, so none is looked for there
+    text = _TAG.sub(b" ", shown[:closed]) + shown[closed:]
     return html.unescape(text.decode("utf-8", "replace")).encode() if b"&" in text else text
 
 
 def declared(page: bytes) -> str | None:
-    found = _DECLARED.search(page) or _DECLARED_META.search(page)
+    """The language that the first html tag declares, else the first content-language of a meta tag."""
+    found = None
+    if m := _HTML.search(page):
+        end = page.find(b">", m.end())
+        found = _LANG.search(page, m.end(), end if end >= 0 else len(page))
+    for m in () if found else _META.finditer(page):
+        end = page.find(b">", m.end())
+        if end < 0:
+            break
+        if said := _CONTENT_LANGUAGE.search(page, m.end(), end):
+            if found := _CONTENT.search(page, said.end(), end):
+                break
     return found[1].decode().lower() if found else None
 
 
@@ -104,18 +155,22 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang in sorted(set(langs)):
                 new = np.bincount(at[langs[row] == lang], minlength=1 << BITS)
                 counts[lang] = counts.get(lang, 0) + new
-    kept = sorted(sorted(counts), key=lambda k: (-int(counts[k].sum()), k))[:MOST_LANGUAGES]
-    kept.sort()
+    kept = sorted(counts)
     logs = np.stack([np.log((counts[k] + SMOOTH) / (counts[k].sum() + SMOOTH * (1 << BITS))) for k in kept], axis=1) if kept else np.zeros((1 << BITS, 0))
     yield pa.record_batch([pa.array([Model(kept, logs.astype(np.float32)).dump()], pa.binary())], names=["model"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> bytes:
-    """The text model, fitted in one task on at most `sample` documents with a language, those of the smallest hashes."""
+    """The text model of every language that docs has, fitted in one task on about `sample` different documents of each:
+    all whose hash lies below the share of the language that makes so many. Over MOST_LANGUAGES languages are refused."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    some = F.broadcast(usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = usable.join(some, "doc_id").dropDuplicates(["doc_id"]).select("lang", "text")
-    return fitted(rows, _fit_rows)
+    shares = usable.groupBy("lang").agg(F.count("*").alias("docs"))
+    if (languages := shares.limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages or more; at most {MOST_LANGUAGES} are told apart")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
+    chosen = usable.join(F.broadcast(shares), "lang").where(draw * F.col("docs") < sample * (1 << 32))
+    rows = chosen.groupBy("lang", "doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    return fitted(rows.select("lang", "text"), _fit_rows)
 
 
 def _page_rows(model):
@@ -187,7 +242,8 @@ def _summed(rows: DataFrame, by: str, width: int, name: str) -> DataFrame:
 def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """(page_id, host, declared, text_lang, lang, posterior) for every row of pages (page_id, url, html).
 
-    Null html is an empty page, decided by its declaration and priors; a url without a host has the host ''. Repeated
+    Null html is an empty page, decided by its declaration and priors; a url without a host has the host ''. Pages of any
+    length are read whole, in one forward scan. Repeated
     rows each get a result and count each for the priors. Without labelled documents lang is null and posterior 0. An
     empty table gives an empty result; other columns are ignored.
     """
