@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, materialize, table, unused
 
 SHARE = Fraction(3, 2)
 WEIGHTS = (3, 1, 2)
@@ -147,12 +147,12 @@ def balance(rows: DataFrame, aims: DataFrame) -> DataFrame:
     return state.drop("lo", "hi", "done")
 
 
-_ROUNDED = "doc_id bigint, source string, size bigint, n bigint, copies bigint, left double"
+_ROUNDED = "doc_id bigint, no_id boolean, source string, size bigint, own bigint, n bigint, copies bigint, left double"
 
 
 def _round(group: pd.DataFrame) -> pd.DataFrame:
     """Copies for one group of rows; copies counts those of all n equal rows."""
-    group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    group = group.sort_values(["size", "doc_id", "own"], ascending=[False, True, True], kind="stable")
     want, taken, copies = float(group["carry"].iloc[0]), 0, []
     for size, n, rate in zip(group["size"], group["n"], group["rate"]):
         if size == 0:
@@ -162,7 +162,7 @@ def _round(group: pd.DataFrame) -> pd.DataFrame:
         c = min(MOST_COPIES * n, max(0, math.floor((want - taken) / size + 0.5)))
         copies.append(c)
         taken += c * size
-    out = group[["doc_id", "source", "size", "n"]].copy()
+    out = group[["doc_id", "no_id", "source", "size", "own", "n"]].copy()
     out["copies"] = copies
     out["left"] = 0.0
     out.iloc[0, out.columns.get_loc("left")] = want - taken
@@ -170,17 +170,21 @@ def _round(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, n): equal ones counted together."""
+    """(doc_id, source, size, own, n): equal ones counted together; own tells documents without an id apart, by a hash of
+    their text."""
     size = word_count(F.col("text").cast("string"))
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    return ids.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    doc_id = F.col("doc_id").cast("bigint")
+    own = F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(0)
+    ids = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), own.alias("own"))
+    return ids.groupBy("doc_id", "source", "size", "own").agg(F.count("*").alias("n"))
 
 
 def mix(docs: DataFrame, share: Fraction = SHARE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, size, n, source_size, target, copies): for each different (doc_id, source, size), how many copies the
-    mix takes of its n rows together, from 0 to 2n.
+    """(doc_id, source, size, own, n, source_size, target, copies): for each different (doc_id, source, size, own), how many
+    copies the mix takes of its n rows together, from 0 to 2n.
 
-    Null text has size 0, a null source is a source of its own, placed last; null doc_ids are ids like others. A text
+    Null text has size 0, a null source is a source of its own, placed last; own is 0 but for documents without an id, which
+    it tells apart by their text. Texts of any length are counted whole. A text
     without words is taken once. An empty table gives an empty result. Reads doc_id, source and text only.
     """
     rows = materialize(sized(docs), "mix-rows")
@@ -190,7 +194,9 @@ def mix(docs: DataFrame, share: Fraction = SHARE, weights: tuple[int, ...] = WEI
     state = balance(rows, aims)
     rated = _with_state(rows, state, n).withColumn("rate", _rate())
     heavy = F.col("size") * HEAVY_PARTS > F.col("source_size")
-    columns = ["doc_id", "source", "size", "n", "rate", "source_size", "n_docs"]
+    # Pandas would turn a column of integers with nulls into floats.
+    rated = rated.withColumns({"no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    columns = ["doc_id", "no_id", "source", "size", "own", "n", "rate", "source_size", "n_docs"]
     rated = materialize(rated.select(*columns, heavy.alias("heavy")), "mix-rated")
 
     first = rated.where("heavy").withColumn("carry", F.lit(0.0))
@@ -201,11 +207,11 @@ def mix(docs: DataFrame, share: Fraction = SHARE, weights: tuple[int, ...] = WEI
     light = light.join(over, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     light = materialize(light.select("source", "light_size", "light_rows", F.coalesce("left", F.lit(0.0)).alias("left_over")), "mix-light")
     groups = F.ceil(F.col("light_rows") / GROUP_ROWS)
-    dealt = _with_state(rest, light, n).withColumn("deal", F.pmod(F.xxhash64("doc_id", "size"), groups))
+    dealt = _with_state(rest, light, n).withColumn("deal", F.pmod(F.xxhash64("doc_id", "size", "own"), groups))
     part = F.col("left_over") / F.greatest("light_size", F.lit(1))
     dealt = dealt.withColumn("rate", F.col("rate") + part).withColumn("carry", F.lit(0.0))
     small = dealt.select(*columns, "deal", "carry").groupBy("source", "deal").applyInPandas(_round, _ROUNDED)
-    whole = large.union(small).drop("left")
+    whole = large.union(small).withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("left", "no_id")
     return _with_state(whole, aims.drop("n_docs"), n)
 
 
@@ -215,20 +221,25 @@ def _copies_of_row(row_number: F.Column) -> F.Column:
 
 
 def mixed_documents(docs: DataFrame, share: Fraction = SHARE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs as the mix takes them: a row for each copy, with the columns of docs. Texts are shuffled once."""
+    """docs as the mix takes them: a row for each copy, with the columns of docs, whatever their names. Texts are shuffled
+    once. Null texts have size 0 and stay once; rows of one doc_id, source and size share their copies, as evenly as can
+    be, those of the least text hash first; rows with a null doc_id count as documents by their text. An empty table
+    stays empty."""
     from pyspark.sql import Window
 
     names = docs.columns
     size = word_count(F.col("text").cast("string"))
-    key = F.struct(F.col("doc_id").cast("bigint").alias("d"), F.col("source").cast("string").alias("s"), size.alias("z"))
+    own = F.when(F.col("doc_id").cast("bigint").isNull(), F.xxhash64("text")).otherwise(0)
+    key, n, copies, nth, each, copy = (unused(c, docs) for c in ("key", "n", "copies", "nth", "each", "copy"))
+    parts = F.struct(F.col("doc_id").cast("bigint").alias("d"), F.col("source").cast("string").alias("s"), size.alias("z"), own.alias("h"))
     taken = mix(docs, share, weights)
-    taken = taken.select(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z")).alias("__key"), F.col("n").alias("__n"), F.col("copies").alias("__copies"))
+    taken = taken.select(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("own").alias("h")).alias(key), F.col("n").alias(n), F.col("copies").alias(copies))
     taken = materialize(taken, "mix-taken")
-    joined = docs.withColumn("__key", key).join(taken, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
-    each = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
-    picked = joined.withColumn("__nth", nth).withColumn("__each", each.cast("int")).where("__each > 0")
-    return picked.select(*names, F.explode(F.sequence(F.lit(1), "__each")).alias("__copy")).select(*names)
+    joined = docs.withColumn(key, parts).join(taken, key)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))
+    often = F.floor(F.col(copies) / F.col(n)) + F.when(F.col(nth) <= F.col(copies) % F.col(n), 1).otherwise(0)
+    picked = joined.withColumn(nth, place).withColumn(each, often.cast("int")).where(F.col(each) > 0)
+    return picked.select(*names, F.explode(F.sequence(F.lit(1), F.col(each))).alias(copy)).select(*names)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,16 @@ def test_places_by_code_point(spark):
     got = mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string")).collect()
     want = sorted(names, key=lambda s: (s is None, (s or "").encode()))
     assert [r.source for r in sorted(got, key=lambda r: r.place)] == want
+
+
+def test_internal_names_do_not_clash_and_null_ids_are_told_apart(make):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"w{i} " * (i % 7), "s") for i in range(60)] + [(5, "a b c", "s"), (5, "d e f", "s"), (6, "g " * 20000, "t"), (None, "same", "t"), (None, "same", "t")]
+    docs = make(rows, **{n: F.lit("y") for n in ("__key", "__n", "__nth", "__each", "__copies", "__copy", "_key0", "_n0", "own", "target")})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    copies = {(r.doc_id, r.source, r.size, r.own): (r.copies, r.n) for r in mixing.mix(docs).collect()}
+    assert sum(n for _, n in copies.values()) == len(rows) and sum(c for c, _ in copies.values()) == out.count()
+    assert all(0 <= c <= 2 * n for c, n in copies.values())
+    assert len([k for k in copies if k[0] is None]) == len({(t, s) for i, t, s in rows if i is None})
