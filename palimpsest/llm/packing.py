@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import materialize, parts_for, sliced, table
 from .tokens import encoder, id_bytes, ids_from, tokenizer_path
 
 MAX_TOKENS = 1024
@@ -163,15 +163,13 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
 
     Every row of docs is encoded whole (null text: empty) and ends with end_id; each of its ids lies in exactly one
     piece. Repeated rows are packed each for itself, null doc_ids too; sequence ids are unique but not gapless; an
-    empty table has no pieces. Only doc_id and text are read. A range holds documents next to one another on the curve;
+    empty table has no pieces. Long texts are encoded whole. Only doc_id and text are read. A range holds documents next to one another on the curve;
     equal keys (copies) are spread over ranges by doc_id and then by input place, so none grows with its copies.
     """
-    spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = materialize(ids.mapInArrow(_encoded(tokenizer, end_id), _TOKENS), "pack-ids")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "doc_id", "spread"]
-    line = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    line = encoded.repartitionByRange(parts_for(docs.sparkSession, encoded._stored_at), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return line.mapInArrow(_packed(max_tokens, with_ids), _PIECES + ", ids binary" * with_ids)
 
 
