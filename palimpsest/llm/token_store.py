@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, sliced, table
+from .common import materialize, new_path, parts_for, sliced, table
 from .tokens import encoder, id_bytes, ids_from, tokenizer_path
 
 WINDOW = 32
 LEAST, MOST = 64, 2048
 CUT_BITS = 8
 END_ID = 1
-_SEEN_MOST = 500_000
+_SEEN_MOST = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -95,7 +95,7 @@ def _blobs(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         enc = encoder(path)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 2 << 20):
             ids, off = enc.encode(batch.column("text"))
             if end_id is not None:
                 ids = np.insert(ids, off[1:], end_id)
@@ -189,7 +189,8 @@ class TokenStore:
         """Encode every text of docs (null: empty) and store the ids.
 
         Reads doc_id and text only. Repeated rows are one record with a count; rows that share a doc_id and differ in
-        text are separate records, in order of their roots; null ids come first.
+        text are separate records, in order of their roots; null ids come first. Long texts are stored whole, in chunks; an
+        empty table makes a store without records.
         """
         spark = docs.sparkSession
         ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -199,7 +200,7 @@ class TokenStore:
         schema = "key binary, payload binary, n bigint, kind string"
         raw = spark.read.schema(schema).parquet(f"{path}/blobs").where("kind = 'recipe'").select("payload", "n")
         records = raw.mapInArrow(_unpack, _RECORD)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts_for(spark, f"{path}/blobs")  # so a part's roots fit a task however many records there are
         ordered = records.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
         ordered.mapInArrow(_placed, f"part bigint, local_start bigint, {_RECORD}").write.option("compression", "zstd").parquet(f"{path}/recipes")
         # Each part is one file here, or several read in order by one task after a regrouping by part.
