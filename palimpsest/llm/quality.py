@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitted, fold_bucket, sliced, table
+from .common import first_of_each, fitted, fold_bucket, sliced, table
 from .textscan import Scan, mixed
 from .toxicity import labelled_sample
 
@@ -81,6 +81,7 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             pair = mixed(h[:-1] * np.uint64(31) + h[1:] + scan.doc[1:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(pair, kind="stable")
+        order = order[scan.doc[order + 1] == scan.doc[order]]  # no pair reaches into another text
         old = np.zeros(len(pair), bool)
         old[order[1:]] = pair[order[1:]] == pair[order[:-1]]
         seen = np.bincount(line_of[1:][old & same], minlength=k)
@@ -277,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     labelled documents of the training folds. Without any the model is empty and all scores are 0.5."""
     some = F.broadcast(labelled_sample(labels, "quality", folds, held_out, sample))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id")
-    features = rows.mapInArrow(_line_rows, "doc_id bigint, label int, lines binary").dropDuplicates(["doc_id"])
+    features = first_of_each(rows.mapInArrow(_line_rows, "doc_id bigint, label int, lines binary"), "doc_id")
     return fitted(features, _fit_rows)
 
 
@@ -316,7 +317,9 @@ def _good_rows(model):
 
 
 def keep_good(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """The rows of docs predicted good, with the columns of docs."""
+    """The rows of docs predicted good, with the columns of docs, whatever their names. Null and empty texts have the
+    sample's share of good documents as score, repeated rows and null ids are judged each by their text; an empty table
+    stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(train(train_docs, labels, folds, held_out))
     return docs.mapInArrow(_good_rows(model), docs.schema)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, sliced, table
+from .common import first_of_each, fold_bucket, sliced, table
 from .textscan import Scan, mixed
 
 BITS = 20
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     over at most `sample` documents. Without labelled rows the model is empty and all scores are 0.5."""
     some = F.broadcast(labelled_sample(labels, label, folds, held_out, sample))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id")
-    features = rows.mapInArrow(_feature_rows, "doc_id bigint, label int, places binary").dropDuplicates(["doc_id"])
+    features = first_of_each(rows.mapInArrow(_feature_rows, "doc_id bigint, label int, places binary"), "doc_id")
     fitted = features.coalesce(1).mapInArrow(_fit_batches, "place bigint, weight double")
     return [(r["place"], r["weight"]) for r in fitted.collect()]
 
@@ -139,7 +139,8 @@ def _clean_rows(model):
 
 
 def keep_clean(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = 0) -> DataFrame:
-    """The rows of docs not predicted toxic, with the columns of docs."""
+    """The rows of docs not predicted toxic, with the columns of docs, whatever their names. Rows with null and empty texts
+    have the score of no features, repeated rows and null ids are judged each by their text; an empty table stays empty."""
     model = _sent(docs.sparkSession, train(train_docs, labels, "toxic", folds, held_out))
     return docs.mapInArrow(_clean_rows(model), docs.schema)
 
