@@ -73,6 +73,16 @@ def summary(samples: DataFrame) -> DataFrame:
     return samples.agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum("v").alias("total"), F.floor(F.sum("v") / F.count("*")).cast("bigint").alias("mean"))
 
 
+REPORTED = (500, 900, 990, 999)
+
+
+def report(samples: DataFrame) -> DataFrame:
+    """One row: number and mean of the samples, the reported percentiles of their histogram, and the largest."""
+    found = percentiles(histogram(samples), list(REPORTED))
+    wide = found.agg(*(F.max(F.when(F.col("per_mille") == p, F.col("v"))).alias(f"p{p}") for p in REPORTED))
+    return summary(samples).select("n", "mean", "most").crossJoin(F.broadcast(wide))
+
+
 def open_loop(ops: DataFrame, interval_us: int) -> DataFrame:
     """ops (run, i, done_us): a run's latency counts from each operation's intended start i*interval; operations over a
     second late are diverging, and the run is valid if it reached 99 % of the intended rate."""

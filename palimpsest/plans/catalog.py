@@ -13,7 +13,8 @@ from ..operators import compact, files, manifest, metrics, ordered, read, wal
 from ..options import DEFAULT, Options
 from ..sources import carriers as c
 from ..sources import log_file, workload
-from ..store import Store, properties
+from ..sources.storage import new_path, shared_dir
+from ..store import StatusError, Store, properties
 from ..streaming import ingest
 from . import sql
 from .sql import SQL
@@ -69,6 +70,20 @@ def point_get_tombstone(spark, d):
     return read.newest(m).select("user_key", "seq", read.outcome(F.col("seq"), F.col("type")).alias("outcome"))
 
 
+#: Keys that a run is asked for: some it has, some beyond its range, some never written.
+ASKED = [f"key{7 * n:013d}" for n in range(30)]
+
+
+@query
+def run_probe(spark, d):
+    """The log written as one sorted run with a Bloom filter, and read again by keys: the filter and the row groups'
+    statistics stand at the scan."""
+    path = new_path(spark, "run")
+    m = c.mutations(spark, d)
+    files.write_run(m, path)
+    return read.newest(spark.read.schema(m.schema).parquet(path).where(F.col("user_key").isin(ASKED)))
+
+
 @query
 def multi_get_outcome(spark, d):
     return read.multi_get(c.mutations(spark, d), c.probes(spark, d))
@@ -241,6 +256,28 @@ def dump_totals(spark, d):
     return files.dump_totals(_entries(spark, d))
 
 
+@query
+def dump_entries(spark, d):
+    """A dump's line for each entry, in file order."""
+    e = encode.in_file_order(_entries(spark, d))
+    kind = F.when(F.col("type") == 1, "PUT").otherwise("DEL")
+    value = F.coalesce("value", F.lit(""))
+    return e.select("file_no", "pos", encode.printable(F.col("user_key")).alias("key"), "seq", kind.alias("kind"), F.octet_length(value).cast("bigint").alias("value_bytes"), encode.printable(value, 24).alias("value"))
+
+
+@query
+def dump_ratio(spark, d):
+    """File bytes to user bytes, in thousandths: entries as they lie in blocks (keys sharing nothing), with four bytes for
+    each restart point and for their number."""
+    p = _placed(spark, d)
+    cut = encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK)
+    blocks = p.join(cut, ["file_no", "pos"]).groupBy("file_no", "block_no").agg(F.sum("size").alias("bytes"), F.count("*").alias("entries"))
+    restarts = F.floor((F.col("entries") + DEFAULT.restart_interval - 1) / DEFAULT.restart_interval)
+    sizes = blocks.groupBy("file_no").agg(F.sum(F.col("bytes") + 4 * restarts + 4).alias("file_bytes"))
+    user = files.dump_totals(_entries(spark, d)).select("file_no", (F.col("key_bytes") + F.col("value_bytes")).alias("user_bytes"))
+    return sizes.join(user, "file_no").select("file_no", "file_bytes", "user_bytes", F.floor(F.col("file_bytes") * 1000 / F.col("user_bytes")).cast("bigint").alias("per_mille"))
+
+
 @query
 def flush_tiers(spark, d):
     return _entries(spark, d).select("file_no", "tier").distinct()
@@ -487,6 +524,11 @@ def hist_percentiles(spark, d):
     return metrics.percentiles(metrics.histogram(c.samples(spark, d)), [500, 900, 990, 999, 1000])
 
 
+@query
+def hist_report(spark, d):
+    return metrics.report(c.samples(spark, d))
+
+
 @query
 def openloop_validity(spark, d):
     e = c.table(spark, d, "events")
@@ -623,6 +665,39 @@ def hash64_keys(spark, d):
     return c.mutations(spark, d).select("user_key").distinct().select("user_key", encode.hash64(F.col("user_key").cast("binary")).alias("hash"))
 
 
+@query
+def block_checksums(spark, d):
+    """CRC-32C of each block: its keys, each followed by its value, in order."""
+    p = encode.in_file_order(_entries(spark, d)).select("file_no", "pos", F.concat("user_key", F.coalesce("value", F.lit(""))).alias("data"))
+    cut = encode.cut_blocks(_placed(spark, d).select("file_no", "pos", "size"), BLOCK)
+    rows = p.join(cut, ["file_no", "pos"]).groupBy("file_no", "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("e"))
+    return rows.select("file_no", "block_no", encode.crc32c(F.array_join(F.col("e.data"), "").cast("binary")).alias("crc"))
+
+
+@query
+def probe_positions(spark, d):
+    """The bits that each key sets in a filter of 4,096 bits with six probes."""
+    keys = c.mutations(spark, d).select("user_key").distinct().select("user_key", encode.hash64(F.col("user_key").cast("binary")).alias("h"))
+    at = encode.probe_positions(F.col("h"), 4096, 6)
+    return keys.select("user_key", F.posexplode(at).alias("i", "bit")).select("user_key", F.col("i").cast("bigint").alias("i"), "bit")
+
+
+@query
+def bloom_build(spark, d):
+    """The words of a filter over all keys, of ten bits a key."""
+    keys = c.mutations(spark, d).select(F.col("user_key").alias("key")).distinct()
+    return encode.bloom_words(keys, 4096, encode.probe_count(10))
+
+
+@query
+def bloom_excludes(spark, d):
+    """What a filter over the keys of the log's first half says of all probes, beside whether it has them."""
+    m = _to_last(c.mutations(spark, d))
+    keys = m.where(F.col("seq") * 2 <= F.col("n")).select(F.col("user_key").alias("key")).distinct()
+    maybe = encode.may_contain(c.probes(spark, d).select(F.col("user_key").alias("key")), encode.bloom_words(keys, 4096, 6), 4096, 6)
+    return maybe.join(keys.withColumn("there", F.lit(True)), "key", "left").select("key", "maybe", F.coalesce("there", F.lit(False)).alias("there"))
+
+
 @query
 def bloom_fpr(spark, d):
     """False-positive share of filters over 20,000 keys, measured with 100,000 absent ones, at 4, 10 and 16 bits."""
@@ -644,7 +719,7 @@ def block_lookup(spark, d):
     p = _placed(spark, d)
     index = encode.separators(p.join(encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK), ["file_no", "pos"]))
     ends = index.select("file_no", F.col("last_key").alias("key"), F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("probe_id"), "block_no")
-    numbers = F.broadcast(_entries(spark, d).select("file_no").distinct())
+    numbers = _entries(spark, d).select("file_no").distinct()
     asked = c.probes(spark, d).crossJoin(numbers).select("file_no", F.col("user_key").alias("key"), F.lit(1).alias("turn"), F.col("probe_id").cast("bigint").alias("probe_id"), F.lit(None).cast("bigint").alias("block_no"))
     # Of several blocks that end with one key, the first is met last.
     merged = ordered.carried(ends.union(asked), "file_no", "block_no", F.col("key").desc(), "turn", F.col("block_no").desc(), "probe_id")
@@ -712,6 +787,18 @@ def workload_mixed(spark, d):
     return both.groupBy("role", "thread").agg(F.count("*").alias("ops"), F.countDistinct("n").alias("different_keys"), F.count_if((F.col("role") == "read") & F.col("found")).alias("found"))
 
 
+@query
+def height_draws(spark, d):
+    """The generator of tower heights from several seeds."""
+    return workload.height_draws(spark, [1, 7, 48271, 2147483646], 200)
+
+
+@query
+def status_text(spark, d):
+    """How an operation's failure reads, with and without a message."""
+    return spark.createDataFrame([(code, text, str(StatusError(code, text))) for code in sql.CODES for text in ("", "no such file")], "code string, message string, shown string")
+
+
 @query
 def workload_baseline(spark, d):
     """The raw append: keys in order with a fixed value, and the bytes they make."""
@@ -753,8 +840,6 @@ def store_reopened(spark, d):
 @query
 def stream_ingest_scan(spark, d):
     """The event stream ingested in micro-batches as tier-0 runs, then read."""
-    from ..sources.storage import shared_dir
-
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     # As a pattern, the path may be one file or a folder of them.
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")

@@ -61,6 +61,7 @@ PROBES = "(SELECT c_custkey AS probe_id, printf('key%013d', c_custkey) AS user_k
 TARGETS = "(SELECT DISTINCT printf('key%013d', n_nationkey * 7) AS target FROM nation)"
 NAMES = ["000123.sst", "000007.log", "000009.tmp", "MANIFEST-000042", "MANIFEST-000001", "CURRENT", "LOCK", "LOG", "notes.txt", "abc.sst", ".sst", "MANIFEST-", "000123.sstx", "12.log", "x/000123.sst"]
 KEY_SIZES, VALUE_SIZES = [0, 1, 4096, 4097], [0, 1048576, 1048577]
+CODES = ["InvalidArgument", "NotFound", "IOError", "Corruption", "NotSupported"]
 _NAMES = ", ".join(f"('{n}')" for n in NAMES)
 
 def picked(meta: str, trigger: int, tiers: int) -> str:
@@ -87,6 +88,15 @@ SQL: dict[str, str] = {
     "snapshot_scan_empty": view(scan("0")),
     "point_get": view(scan(where="user_key = 'key0000000000007'")),
     "point_get_tombstone": view(f"SELECT user_key, seq, {OUTCOME} AS outcome FROM ({newest(where=chr(39).join(['user_key BETWEEN ', 'key0000000000000', ' AND ', 'key0000000000009', '']))})"),
+    "dump_entries": view("""SELECT file_no, row_number() OVER (PARTITION BY file_no ORDER BY user_key, seq DESC) - 1 AS pos, user_key AS key, seq, CASE type WHEN 1 THEN 'PUT' ELSE 'DEL' END AS kind, strlen(coalesce(value, '')) AS value_bytes,
+      left(coalesce(value, ''), 24) || CASE WHEN strlen(value) > 24 THEN '...' ELSE '' END AS value FROM entry""", ENTRY),
+    "status_text": "SELECT code, m AS message, code || CASE WHEN m = '' THEN '' ELSE ': ' || m END AS shown FROM (VALUES " + ", ".join(f"('{c}')" for c in CODES) + ") a(code), (VALUES (''), ('no such file')) b(m)",
+    "height_draws": """WITH RECURSIVE d AS (SELECT s AS seed, CAST(-1 AS BIGINT) AS i, s AS draw FROM (VALUES (CAST(1 AS BIGINT)), (7), (48271), (2147483646)) v(s)
+      UNION ALL SELECT seed, i + 1, draw * 48271 % 2147483647 FROM d WHERE i < 199) SELECT * FROM d WHERE i >= 0""",
+    "run_probe": view("SELECT user_key, seq, type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM mutation WHERE user_key IN (SELECT printf('key%013d', 7 * k) FROM range(30) r(k))) WHERE rn = 1"),
+    "hist_report": f"""WITH {HIST}, run AS (SELECT bucket, lower, sum(cnt) OVER (ORDER BY bucket) AS cum FROM hist),
+      pct AS (SELECT p, min(lower) AS v FROM (VALUES (500), (900), (990), (999)) a(p) JOIN run ON cum >= p * (SELECT sum(cnt) FROM hist) // 1000 GROUP BY p)
+      SELECT count(*) AS n, CAST(sum(v) // count(*) AS BIGINT) AS mean, max(v) AS most, (SELECT v FROM pct WHERE p = 500) AS p500, (SELECT v FROM pct WHERE p = 900) AS p900, (SELECT v FROM pct WHERE p = 990) AS p990, (SELECT v FROM pct WHERE p = 999) AS p999 FROM sample""",
     "multi_get_outcome": view(f"SELECT p.probe_id, p.user_key, {OUTCOME} AS outcome, CASE WHEN type = 1 THEN value END AS value FROM {PROBES} p LEFT JOIN ({newest()}) v USING (user_key)"),
     "asof_join": view(f"""SELECT probe_id, user_key, snap, seq, {OUTCOME} AS outcome, CASE WHEN type = 1 THEN value END AS value FROM (
       SELECT p.probe_id, p.user_key, p.snap, max(m.seq) AS seq, arg_max(m.type, m.seq) AS type, arg_max(coalesce(m.value, ''), m.seq) AS value
@@ -235,18 +245,34 @@ def _word(first: int) -> str:
 
 _M = "14313749767032793493"
 # Keys have 16 bytes, two words: the hash of each, folded into the seed and the length.
-SQL["hash64_keys"] = f"""WITH {MUTATION},
- k AS (SELECT DISTINCT user_key FROM mutation),
+_HASHED = f"""{MUTATION},
+ k AS (SELECT DISTINCT user_key FROM mutation UNION SELECT user_key FROM {PROBES}),
  a AS (SELECT user_key, {_product(_word(1), _M)} AS x, {_product(_word(9), _M)} AS y, xor(CAST(11400714819323198485 AS HUGEINT), {_product("CAST(16 AS HUGEINT)", _M)}) AS h FROM k),
  b AS (SELECT user_key, h, {_product("xor(x, x // 140737488355328)", _M)} AS x, {_product("xor(y, y // 140737488355328)", _M)} AS y FROM a),
  c AS (SELECT user_key, y, {_product("xor(h, x)", _M)} AS h FROM b),
  e AS (SELECT user_key, {_product("xor(h, y)", _M)} AS h FROM c),
  f AS (SELECT user_key, {_product("xor(h, h // 140737488355328)", _M)} AS h FROM e),
- g AS (SELECT user_key, xor(h, h // 140737488355328) AS h FROM f)
-SELECT user_key, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM g"""
+ hashed AS (SELECT user_key, xor(h, h // 140737488355328) AS h FROM f),
+ bit AS (SELECT user_key, i, CAST((h % 4294967296 + i * (h // 4294967296 + 1 - (h // 4294967296) % 2)) % 4096 AS BIGINT) AS bit FROM hashed, range(6) r(i))"""
+_IN_LOG = "user_key IN (SELECT user_key FROM mutation)"
+SQL["hash64_keys"] = f"WITH {_HASHED} SELECT user_key, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM hashed WHERE {_IN_LOG}"
+SQL["probe_positions"] = f"WITH {_HASHED} SELECT user_key, i, bit FROM bit WHERE {_IN_LOG}"
+SQL["bloom_build"] = f"WITH {_HASHED} SELECT bit // 63 AS word, bit_or(CAST(1 AS BIGINT) << (bit % 63)) AS mask FROM bit WHERE {_IN_LOG} GROUP BY bit // 63"
+SQL["bloom_excludes"] = f"""WITH {_HASHED}, half AS (SELECT DISTINCT user_key FROM mutation WHERE seq * 2 <= (SELECT n FROM last)), bits AS (SELECT DISTINCT bit FROM bit WHERE user_key IN (SELECT user_key FROM half))
+SELECT b.user_key AS key, bool_and(b.bit IN (SELECT bit FROM bits)) AS maybe, b.user_key IN (SELECT user_key FROM half) AS there FROM bit b WHERE b.user_key IN (SELECT user_key FROM {PROBES}) GROUP BY b.user_key"""
+_CRC_TABLE = """bits AS (SELECT CAST(i AS BIGINT) AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+ tab AS (SELECT b, c FROM bits WHERE k = 8)"""
 SQL["crc32c_records"] = f"""WITH RECURSIVE {MUTATION},
- bits AS (SELECT CAST(i AS BIGINT) AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
- tab AS (SELECT b, c FROM bits WHERE k = 8),
+ {_CRC_TABLE},
  walk AS (SELECT seq, coalesce(value, '') AS v, 0 AS done, CAST(4294967295 AS BIGINT) AS c FROM mutation
   UNION ALL SELECT seq, v, done + 1, xor(t.c, w.c >> 8) FROM walk w JOIN tab t ON t.b = xor(w.c, ascii(v[done + 1])) & 255 WHERE done < strlen(v))
 SELECT seq, xor(c, 4294967295) AS crc FROM walk WHERE done = strlen(v)"""
+SQL["block_checksums"] = f"""WITH RECURSIVE {_SIZED}, {_CRC_TABLE},
+ datum AS (SELECT c.file_no, c.block_no, string_agg(e.user_key || coalesce(e.value, ''), '' ORDER BY c.pos) AS v FROM cut c JOIN placed p USING (file_no, pos) JOIN entry e ON e.file_no = p.file_no AND e.seq = p.seq GROUP BY ALL),
+ walk AS (SELECT file_no, block_no, v, 0 AS done, CAST(4294967295 AS BIGINT) AS c FROM datum
+  UNION ALL SELECT file_no, block_no, v, done + 1, xor(t.c, w.c >> 8) FROM walk w JOIN tab t ON t.b = xor(w.c, ascii(v[done + 1])) & 255 WHERE done < strlen(v))
+SELECT file_no, block_no, xor(c, 4294967295) AS crc FROM walk WHERE done = strlen(v)"""
+SQL["dump_ratio"] = f"""WITH RECURSIVE {_SIZED}, b AS (SELECT file_no, block_no, sum(placed.size) AS bytes, count(*) AS entries FROM cut JOIN placed USING (file_no, pos) GROUP BY ALL),
+ f AS (SELECT file_no, CAST(sum(bytes + 4 * ((entries + 15) // 16) + 4) AS BIGINT) AS file_bytes FROM b GROUP BY file_no),
+ u AS (SELECT file_no, CAST(sum(strlen(user_key) + coalesce(strlen(value), 0)) AS BIGINT) AS user_bytes FROM entry GROUP BY file_no)
+SELECT file_no, file_bytes, user_bytes, file_bytes * 1000 // user_bytes AS per_mille FROM f JOIN u USING (file_no)"""

@@ -50,6 +50,17 @@ def heights(seed: int, count: int) -> list[int]:
     return out
 
 
+def height_draws(spark: SparkSession, seeds: list[int], count: int) -> DataFrame:
+    """(seed, i, draw) of the height generator, each seed's draws in a row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for seed in pdf["seed"]:
+                yield pd.DataFrame({"seed": seed, "i": np.arange(count), "draw": heights(int(seed), count)})
+
+    return spark.createDataFrame([(s,) for s in seeds], "seed bigint").mapInPandas(run, "seed bigint, i bigint, draw bigint")
+
+
 def hot(draw: np.ndarray, n: int) -> np.ndarray:
     """Nine draws in ten fall on the first hundredth of the keys."""
     return np.where(draw % np.uint64(100) < 90, draw % np.uint64(n // 100 + 1), draw % np.uint64(n))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.compact import compact_all
 from ..options import DEFAULT, Options
 from ..schemas import ENTRY, MUTATION, VALUE
+from ..store import Store
 
 
 def ingest_runs(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -24,6 +25,12 @@ def ingest_runs(stream: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def ingest_store(stream: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Each micro-batch into a store, compacted as its tiers fill. A batch counts once, however often it is sent."""
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: store.ingest(batch, batch_id) and None).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all runs written so far."""
     return spark.read.schema(ENTRY).option("basePath", path).parquet(f"{path}/tier=*")

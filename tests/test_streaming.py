@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import read
+from palimpsest.options import Options
 from palimpsest.sources import carriers
+from palimpsest.store import Store
 from palimpsest.streaming import ingest
 
 
@@ -32,6 +34,18 @@ def test_runs(spark, source, tmp_path):
     assert sorted(read.scan(done).collect()) == sorted(read.scan(m).collect())
 
 
+def test_a_store_compacts_as_batches_come(spark, source, tmp_path):
+    m, path = source
+    o = Options(tier_trigger=2)
+    for turn in range(2):  # a second start finds nothing new, and a batch sent again changes nothing
+        s = Store(spark, o, path=f"file://{tmp_path}/store")
+        ingest.ingest_store(stream(spark, m, path), s, f"{tmp_path}/check").awaitTermination()
+        assert not s.ingest(m, 2) and s.last_batch == 2
+        assert sorted(s.scan().collect()) == sorted(read.scan(m).collect())
+        assert s.counters["compactions"] == (0 if turn else 1) and sorted(x["tier"] for x in s.live.values()) == [0, 1]
+    assert s.last_sequence == m.count()
+
+
 def test_latest_state(spark, source, tmp_path):
     m, path = source
     q = ingest.latest_state(stream(spark, m, path)).writeStream.format("memory").queryName("latest").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
