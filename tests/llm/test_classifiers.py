@@ -4,8 +4,10 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -154,9 +156,20 @@ def network():
     rng = random.Random(3)
     enc = encoder(BYTE)
     turns = ["the river", "of stone", "lights and", "a quiet", "town sleeps"]
-    ids, off = enc.encode(language_model.spaced(pa.array([" ".join(turns[(k + i) % 5] for i in range(rng.randint(5, 60))) for k in range(60)])))
-    ids, off = language_model._with_ends(ids.astype(np.int64), off, len(enc.begins) - 1)
-    return language_model.fit(ids, off, enc.begins, len(enc.begins) - 1, steps=120), enc, ids, off
+    spell = language_model.Speller(BYTE)
+    ids, off = spell(*language_model.words_of(pa.array([" ".join(turns[(k + i) % 5] for i in range(rng.randint(5, 60))) for k in range(60)])))
+    kind, end = language_model.id_type(enc), spell.end_id
+    batch = pa.record_batch([language_model.packed(ids, off, kind)], names=["ids"])
+    held = lambda rows: np.frombuffer(zlib.decompress(next(rows)["data"][0].as_py()), "<i8")
+    counts = held(language_model._id_counts(kind, end + 1)(iter([batch])))
+    slot_of, near = language_model.slots_of(counts)
+    around = held(language_model._neighbours(kind, SimpleNamespace(value=(slot_of, near)))(iter([batch])))
+    assert counts.sum() == len(ids) and around.sum() == 2 * (len(ids) - len(off) + 1)
+    net = language_model.beginning(counts, around.reshape(-1, 128), slot_of, spell.border)
+    windows = np.concatenate([language_model.flat(b["window"], kind)[0] for b in language_model._window_rows(kind, 16, end + 1)(iter([batch]))]).reshape(-1, 32)
+    # Every id but those before a text's first window is to be predicted once.
+    assert (windows[:, 16:] <= end).sum() > 0.8 * len(ids)
+    return language_model.descend(net, windows, end, 200), enc, ids.astype(np.int64), off
 
 
 def test_next_ids_have_probability_one_together(network):
@@ -187,6 +200,70 @@ def test_scores_do_not_depend_on_the_batch_or_on_later_ids(network):
     assert np.allclose(one[:21], cut, atol=1e-4)
 
 
+def test_log_probs_against_plain_attention(network):
+    """Each position by loops: softmax attention over the ids before it in its block and the one before."""
+    net, enc, ids, off = network
+    end, block = len(enc.begins) - 1, language_model.BLOCK
+    text = ids[off[7] : off[8]][:45]
+    lp, _ = net.log_probs(text, np.array([0, len(text)]), end)
+    before = [end, *text[:-1]]
+    for t in range(len(text)):
+        first = max(0, (t // block - 1) * block)
+        x = [net.embed[net.slot_of[before[j]]].astype(float) for j in range(t + 1)]
+        score = [float(x[t] @ net.wq @ (x[j] @ net.wk)) / math.sqrt(language_model.KEYS) + float(net.near[t - j]) for j in range(first, t + 1)]
+        weight = [math.exp(v) for v in score]
+        o = sum(w * (x[j] @ net.wv) for w, j in zip(weight, range(first, t + 1))) / sum(weight)
+        h = np.append(np.maximum(np.append(x[t], o) @ net.w1 + net.b1, 0), 1)
+        group, member = net.group_of[text[t]], net.member_of[text[t]]
+        outer, inner = h @ net.w2, h @ net.w3[group]
+        want = outer[group] - math.log(np.exp(outer).sum()) + inner[member] - math.log(np.exp(inner).sum()) + net.share[text[t]]
+        assert abs(want - lp[t]) < 1e-3
+
+
+def test_gradients_against_differences(network):
+    net, enc, ids, off = network
+    end = len(enc.begins) - 1
+    rng = np.random.default_rng(4)
+    windows = np.full((6, 32), end + 1)
+    for row in windows:
+        n = rng.integers(3, 30)
+        row[32 - n :] = rng.choice(ids, n)
+    windows[0, 28:] = end + 1
+    _, g = language_model.gradients(net, windows, end)
+    for name in language_model.Network.WEIGHTS:
+        w = getattr(net, name)
+        at = np.unravel_index(np.argmax(np.abs(g[name])), w.shape)
+        ends = []
+        for move in (0.01, -0.01):
+            moved = w.copy()
+            moved[at] += move
+            ends.append(language_model.gradients(language_model.Network(**{n: moved if n == name else getattr(net, n) for n in net.NAMES}), windows, end)[0])
+        assert abs((ends[0] - ends[1]) / 0.02 - g[name][at]) < 0.02 * abs(g[name][at]) + 1e-4, name
+
+
+def test_sums_of_many_tasks(spark):
+    data = [np.arange(5) + k for k in range(100)]
+    rows = spark.createDataFrame([(k, float(k), bytearray(zlib.compress(x.astype("<f8").tobytes()))) for k, x in enumerate(data)], language_model._SUMS)
+    weight, mean = language_model.tree_sum(rows, "<f8")
+    assert weight == 4950 and np.allclose(mean, sum(k * x for k, x in enumerate(data)) / 4950)
+    assert language_model.tree_sum(rows.limit(0), "<f8") is None
+
+
+def test_words_before_in_the_text():
+    where, off = np.array([3, 1, 3, 3, 1, 1]), np.array([0, 4, 4, 6])
+    times, passed = language_model.said_before(where, off)
+    assert times.tolist() == [0, 0, 1, 2, 0, 1] and passed.tolist() == [0, 1, 2, 3, 0, 1]
+
+
+def test_words_are_told_apart_by_their_bytes():
+    one, other = "a", "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    words, where, off = language_model.words_of(pa.array([f"{one} {other}\t{one.upper()}", None, "", " x"]))
+    assert words.to_pylist() == [one, other, "x"] and where.tolist() == [0, 1, 0, 2] and off.tolist() == [0, 3, 3, 3, 4]
+    assert len(set(language_model.word_hashes(words).tolist())) == 3
+
+
 def test_training_beats_counts_of_single_ids(network):
     net, enc, ids, off = network
     lp, _ = net.log_probs(ids, off, len(enc.begins) - 1)
@@ -209,12 +286,13 @@ def test_word_counts_and_base_scores(spark, make, monkeypatch):
     n, v = sum(counts.values()), len(counts)
     want = sorted((repr(i), len(ws), sum(counts[w] > 0 for w in ws), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
     for head in (5, 100_000):  # few and all words broadcast: equal results
-        got = language_model.scores(docs, docs.where(~held), BYTE, head=head).collect()
+        got = language_model.scores(docs, BYTE, ~held, head=head).collect()
         assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
         assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got)
         first = {(repr(r.doc_id), r.n_tokens, round(r.score, 3)) for r in got} if head == 5 else first  # noqa: F821
         assert first == {(repr(r.doc_id), r.n_tokens, round(r.score, 3)) for r in got}
-    assert language_model.scores(docs.limit(0), docs.limit(0), BYTE).count() == 0
+    assert language_model.scores(docs.limit(0), BYTE).count() == 0
+    assert language_model.scores(docs.limit(3), BYTE, F.lit(False)).count() == 3
 
 
 # ---- language identification
@@ -255,3 +333,96 @@ def test_visible_text():
     assert language_id.visible(b"<body>a<script>no</script><!-- no --><p>b &amp; c</p></body>").split() == [b"a", b"b", b"&", b"c"]
     assert language_id.visible(page("en", "main text").encode()).split() == [b"main", b"text"]
     assert language_id.declared(b"<html class=x lang='DE-at'>") == "de" and language_id.declared(b"<p>") is None
+
+
+def test_fusion_against_plain_loops(spark, make):
+    """Posteriors page by page: likelihood, rates of declarations, then priors from everywhere down to the host, without
+    the page's own share."""
+    rng = random.Random(6)
+    words = {"en": ["the", "river", "house"], "es": ["el", "rio", "casa"], "de": ["der", "fluss", "haus"]}
+    said = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    docs = make([(i, said(list(words)[i % 3], 40)) for i in range(60)]).withColumn("lang", F.element_at(F.array(*map(F.lit, words)), (F.col("doc_id") % 3 + 1).cast("int")))
+    hosts = ["a.example.es", "b.example.es", "example.de", "x.org", "y.x.org", None]
+    rows = [(i, None if hosts[i % 6] is None else f"https://{hosts[i % 6]}/p{i}", page(rng.choice(["en", "es", "de", "xx"]), said(rng.choice(list(words)), rng.randint(0, 3)), rng.random() < 0.7)) for i in range(80)]
+    model = language_id.Model.load(language_id.train(docs))
+    names = model.languages
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    whole = lambda shares: sum((np.round(s * 1e6) / 1e6 for s in shares), np.zeros(len(names)))
+    evidence = [model.evidence([language_id.visible(h.encode())])[0] for _, _, h in rows]
+    told = [language_id.declared(h.encode()) for _, _, h in rows]
+    kind = [t if t in names or t is None else "other" for t in told]
+    rates = {k: whole(soft(e) for e, t in zip(evidence, kind) if t == k) + 0.5 for k in (*names, "other", None)}
+    total = sum(rates.values())
+    joint = [e + np.log(rates[k] / total) for e, k in zip(evidence, kind)]
+    share = [soft(j) for j in joint]
+    place = [hosts[i % 6] or "" for i, _, _ in rows]
+    levels = [lambda h: "", lambda h: h.split(".")[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h]
+    want = {}
+    for i in range(len(rows)):
+        prior = np.full(len(names), 1 / len(names))
+        for level in levels:
+            others = np.maximum(whole(share[j] for j in range(len(rows)) if level(place[j]) == level(place[i])) - share[i], 0)
+            prior = (others + language_id.PULL * prior) / (others.sum() + language_id.PULL)
+        want[i] = soft(joint[i] + np.log(prior))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for r in language_id.identify(pages, docs).collect():
+        assert r.lang == names[want[r.page_id].argmax()] and abs(r.posterior - want[r.page_id].max()) < 1e-4
+        assert r.declared == told[r.page_id] and r.host == place[r.page_id]
+
+
+def test_broken_and_long_pages_take_linear_time():
+    n = 2_000_000
+    pages = [b"<" * n, b"<nav " * (n // 5), b"<!--" * (n // 4), b"<html " * (n // 6), b"<meta " * (n // 6), b"<article>" * (n // 9), b"<p>" + b"word " * (n // 5) + b"</p>", b"</nav" * (n // 5) + b"<nav>", b"<nav>" * (n // 5) + b"</nav>"]
+    began = time.process_time()
+    for page in pages:
+        language_id.visible(page), language_id.declared(page)
+    assert time.process_time() - began < 10
+    assert language_id.visible(b"a <nav> b") .split() == [b"a", b"b"] and language_id.visible(b"1 < 2 <b>x</b> < 3").split() == [b"1", b"x", b"<", b"3"]
+    assert language_id.visible(b"<nav>no</nav><main>yes<p>and</p></main>no").split() == [b"yes", b"and"]
+    assert language_id.declared(b'<html class=x LANG = "DE-at"><html lang=fr>') == "de"
+    assert language_id.declared(b"<html><meta name=a><meta http-equiv='Content-Language' content='pt'>") == "pt"
+
+
+def test_every_language_counts_and_too_many_are_refused(spark, make):
+    docs = make([(i, f"word{i % 70} lala{i % 70}") for i in range(700)] + [(7, "another text"), (7, "another text")])
+    many = docs.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 70).cast("string")))
+    assert len(language_id.Model.load(language_id.train(many)).languages) == 70
+    assert language_id.train(many) == language_id.train(many.repartition(5))
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(docs.withColumn("lang", F.col("doc_id").cast("string")))
+
+
+def test_a_repeated_id_trains_the_same_model_each_time(spark, make):
+    rng = random.Random(2)
+    rows = [(i % 40, prose(rng) if i % 3 else junk(rng)) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 2)) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    for train in (quality.train, toxicity.train):
+        assert train(make(rows), labels) == train(make(rows[::-1]).repartition(3), labels)
+
+
+def plain_ftrl(examples, epochs, seed):
+    z, n = [0.0] * (1 << toxicity.BITS), [0.0] * (1 << toxicity.BITS)
+
+    def weight(i):
+        free = 0.0 if i == toxicity.BIAS else toxicity.L1
+        if abs(z[i]) <= free:
+            return 0.0
+        return -(z[i] - math.copysign(free, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in rng.permutation(len(examples)):
+            at, label = examples[k]
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    return np.array([weight(i) for i in range(1 << toxicity.BITS)])
+
+
+def test_ftrl_against_plain_loops():
+    """Weights after the same examples in the same order, coordinate by coordinate."""
+    rng = np.random.default_rng(3)
+    examples = [(np.unique(rng.integers(0, 50, 6)), int(rng.random() < 0.5)) for _ in range(40)]
+    assert np.allclose(toxicity.fit(examples, epochs=2, seed=5), plain_ftrl(examples, 2, 5), atol=1e-9)
