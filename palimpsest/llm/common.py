@@ -146,7 +146,7 @@ def text_array(buf: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(data))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the named column holds about max_bytes in each (a single longer value stays whole)."""
     for batch in batches:
         n = batch.num_rows

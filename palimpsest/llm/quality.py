@@ -297,8 +297,8 @@ def quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: in
 
     Texts without a visible character (null and empty ones too) get the score of the sample's share of good documents.
     Repeated rows each get their score; a null doc_id belongs to the fold of the empty text and is never trained on.
-    Labels besides 0 and 1 are ignored, of unequal labels for one doc_id the larger counts. Columns besides doc_id and
-    text are ignored.
+    Labels besides 0 and 1 are ignored, of unequal labels for one doc_id the larger counts. Texts of any length are read
+    whole; an empty table gives an empty result. Columns besides doc_id and text are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(train_docs, labels, folds, held_out))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

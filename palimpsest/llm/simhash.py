@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     Equal fingerprints and fingerprints at 2 bits or fewer link; component_id is the smallest doc_id reachable. Null,
     empty and white texts share the fingerprint 0 and link like any other. Repeated rows are kept, one result each. A
     null doc_id gets its fingerprint's component, but a fingerprint that only null ids have links with nothing and has
-    a null component. An empty table gives an empty result; other columns of docs are ignored.
+    a null component. Texts of any length are taken whole. An empty table gives an empty result; other columns of docs are
+    ignored.
     """
     keep: list[DataFrame] = []
     with scratch(keep=keep):

@@ -150,7 +150,8 @@ def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, folds: i
 
     Null and empty texts get the score of no features. Repeated rows each get theirs; a null doc_id belongs to the fold
     of the empty text and is never trained on. Labels besides 0 and 1 are ignored, of unequal labels for one doc_id the
-    larger counts. Columns besides doc_id and text are ignored.
+    larger counts. Texts of any length are read whole; an empty table gives an empty result. Columns besides doc_id and text
+    are ignored.
     """
     model = _sent(docs.sparkSession, train(train_docs, labels, "toxic", folds, held_out))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
