@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table, unused
+from .common import discard, materialize, shuffled, table, unused
 
 SHARE = Fraction(3, 2)
 WEIGHTS = (3, 1, 2)
@@ -235,7 +235,7 @@ def mixed_documents(docs: DataFrame, share: Fraction = SHARE, weights: tuple[int
     taken = mix(docs, share, weights)
     taken = taken.select(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("own").alias("h")).alias(key), F.col("n").alias(n), F.col("copies").alias(copies))
     taken = materialize(taken, "mix-taken")
-    joined = docs.withColumn(key, parts).join(taken, key)
+    joined = docs.withColumn(key, parts).join(shuffled(taken), key)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))
     often = F.floor(F.col(copies) / F.col(n)) + F.when(F.col(nth) <= F.col(copies) % F.col(n), 1).otherwise(0)
     picked = joined.withColumn(nth, place).withColumn(each, often.cast("int")).where(F.col(each) > 0)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, scratch, sift, sliced, table, unused
+from .common import connected_components, materialize, scratch, shuffled, sift, sliced, table, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -166,14 +166,14 @@ def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_du
         named = groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
         doc_id = F.col("doc_id").cast("bigint")
         rank = F.struct(doc_id.isNull(), doc_id, F.xxhash64("text"), F.col(row).alias("row")).alias("rank")
-        ranks = materialize(rows.select(row, rank).join(named, row).select(row, "component_id", "rank"), "simhash-ranks")
+        ranks = materialize(rows.select(row, rank).join(shuffled(named), row).select(row, "component_id", "rank"), "simhash-ranks")
         first = ranks.groupBy("component_id").agg(F.count("*").alias("members"), F.min("rank").alias("rank"))
         shared = first.where("members > 1").select("component_id", F.col("rank.row").alias("stays"))
-        lost = ranks.select(row, "component_id").join(shared, "component_id").where(F.col(row) != F.col("stays")).select(row)
+        lost = ranks.select(row, "component_id").join(shuffled(shared), "component_id").where(F.col(row) != F.col("stays")).select(row)
         lost = materialize(lost, "simhash-lost")
         keep += [rows, lost]
     perhaps, others = sift(rows, lost, row)
-    return others.union(perhaps.join(lost, row, "left_anti").select(*rows.columns)).select(*docs.columns)
+    return others.union(perhaps.join(shuffled(lost), row, "left_anti").select(*rows.columns)).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from palimpsest.llm import shingles
+from palimpsest.llm import common, shingles, simhash
 
 from odd import ODD
 
@@ -59,3 +59,21 @@ def test_the_stage_keeps_one_of_near_copies(spark, make):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_groups(texts).values()))
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_no_table_of_unknown_size_is_broadcast(spark, make, monkeypatch):
+    """The planner takes these tables for small ones; only the sifting filter, which is bounded, may go through the driver."""
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.materialize(df, name)
+
+    for module in (shingles, simhash):
+        monkeypatch.setattr(module, "materialize", noted)
+    found = []
+    monkeypatch.setattr(shingles, "connected_components", lambda edges: found.append(edges) or common.connected_components(edges))
+    kept = corpus_pipeline.near_duplicates(spark, make(list(enumerate(near_copies()))), "")
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (kept, *found)]
+    joins = [x for p in plans for x in p.split("\n") if "BroadcastHashJoin" in x]
+    assert any("SortMergeJoin" in p for p in plans) and all("_word" in x for x in joins), joins
