@@ -116,15 +116,19 @@ def links(distinct: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     flips = F.explode(F.array(*(F.lit(m).cast("bigint") for m in _flips(32)))).alias("flip")
     probes = stored.select("rep", "fp", "cell", flips).select("rep", "fp", F.col("cell").bitwiseXOR(F.col("flip")).alias("cell"))
     hot = materialize(stored.groupBy("cell").count().where(F.col("count") > bucket_cap).select("cell"), "simhash-hot")
-    a = stored.select(F.col("rep").alias("v"), F.col("fp").alias("fp_v"), "cell")
-    b = probes.select(F.col("rep").alias("u"), F.col("fp").alias("fp_u"), "cell")
     crowded = not hot.isEmpty()
-    tables = a.join(hot, "cell", "left_anti") if crowded else a
+    tables = stored
+    if crowded:
+        # Cells that may be hot, by one filter for both sides: a pair that meets in one of them is in reached, any other is found.
+        tables = sift(stored, hot, "cell")[1]
+        perhaps, probes = sift(probes, hot, "cell")
+    a = tables.select(F.col("rep").alias("v"), F.col("fp").alias("fp_v"), "cell")
+    b = probes.select(F.col("rep").alias("u"), F.col("fp").alias("fp_u"), "cell")
     near = (F.col("fp_v") < F.col("fp_u")) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= MAX_DISTANCE)
-    found = b.join(tables, "cell").where(near).select("u", "v")
+    found = b.join(shuffled(a), "cell").where(near).select("u", "v")
     if not crowded:
         return found
-    reached = materialize(probes.join(hot, "cell", "left_semi").select("rep", "fp").distinct(), "simhash-reached")
+    reached = materialize(perhaps.select("rep", "fp").distinct(), "simhash-reached")
     ball = F.explode(F.array(*(F.lit(m).cast("bigint") for m in _flips(64)))).alias("flip")
     shared = reached.select("rep", "fp", ball).groupBy(fp.bitwiseXOR(F.col("flip")).alias("z"))
     groups = shared.agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
@@ -146,10 +150,10 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = BUCKET_CAP) -> DataFrame:
         prints = materialize(with_fingerprints(docs), "simhash-prints")
         distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
         labels = connected_components(links(distinct.where(F.col("rep").isNotNull()), bucket_cap))
-        named = distinct.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        named = distinct.join(shuffled(labels.withColumnRenamed("node", "rep")), "rep", "left")
         named = materialize(named.select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-named")
         keep += [prints, named]
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(shuffled(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from palimpsest.llm import simhash
+from palimpsest.llm import common, simhash
 
 from odd import ODD
 
@@ -97,3 +97,15 @@ def test_passes_over_long_paths_stars_grids_and_cliques(spark):
         assert {r.component for r in got} == {0} and len(got) == len({x for e in edges for x in e}), name
         assert sum(passes) <= 15, (name, passes)
         print(name, passes)
+
+
+@pytest.mark.parametrize("cap", [1, 64])
+def test_no_table_of_unknown_size_is_broadcast(make, monkeypatch, cap):
+    """Probes are 66 rows a fingerprint, which the planner doesn't count; only the sifting filter may go through the driver."""
+    plans = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.append(df) or common.materialize(df, name))
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: plans.append(edges) or common.connected_components(edges))
+    plans.append(simhash.near_duplicates(make([(i, f"one two three four w{i % 9}") for i in range(40)]), cap))
+    lines = [x for df in plans for x in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+    assert any("SortMergeJoin" in x for x in lines)
+    assert all("_word" in x for x in lines if "BroadcastHashJoin" in x)
