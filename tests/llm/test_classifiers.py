@@ -172,6 +172,30 @@ def network():
     return language_model.descend(net, windows, end, 200), enc, ids.astype(np.int64), off
 
 
+def test_every_id_is_predicted_once_in_training(monkeypatch, spark):
+    """Whatever the corpus's size: shards and steps are small here, as against a corpus that is large for them."""
+    enc = encoder(BYTE)
+    kind, end = language_model.id_type(enc), len(enc.begins) - 1
+    rng = random.Random(12)
+    texts = [np.array([*(rng.randrange(40, 900) for _ in range(n)), end]) for n in (0, 1, 15, 16, 17, 200, 5000, 0, 3)]
+    rows = [(True, bytes(t.astype(kind).tobytes())) for t in texts]
+    given = []
+    make = language_model._window_rows
+
+    def noted(*args):
+        given.append(args)
+        return make(*args)
+
+    monkeypatch.setattr(language_model, "_window_rows", noted)
+    for name, value in (("STEPS", 1), ("BATCH", 4), ("SHARD_IDS", 50)):
+        monkeypatch.setattr(language_model, name, value)
+    language_model.train(spark.createDataFrame(rows, "train boolean, ids binary"), BYTE)
+    batch = pa.record_batch([pa.array([b for _, b in rows], pa.binary())], names=["ids"])
+    got = [w for args in given for b in make(*args)(iter([batch])) for w in language_model.flat(b["window"], kind)[0].reshape(-1, 32)]
+    told = sorted(x for w in got for x in w[16:].tolist() if x <= end)
+    assert told == sorted(x for t in texts for x in t.tolist())
+
+
 def test_next_ids_have_probability_one_together(network):
     """Over all ids, by way of one id of each member: the others differ by their shares, which sum to one."""
     net, enc, ids, _ = network
