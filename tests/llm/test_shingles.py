@@ -7,6 +7,7 @@ import pytest
 from palimpsest.llm import common, shingles, simhash
 
 from odd import ODD
+from test_simhash import plain_print
 
 
 def plain(text):
@@ -77,3 +78,28 @@ def test_no_table_of_unknown_size_is_broadcast(spark, make, monkeypatch):
     plans += [df._jdf.queryExecution().executedPlan().toString() for df in (kept, *found)]
     joins = [x for p in plans for x in p.split("\n") if "BroadcastHashJoin" in x]
     assert any("SortMergeJoin" in p for p in plans) and all("_word" in x for x in joins), joins
+
+
+def test_the_stage_takes_links_of_fingerprints_and_of_shingles(spark, make):
+    """Against all pairs by either rule: texts that repeat a phrase have one fingerprint, whatever short tail follows."""
+    rng = random.Random(8)
+    phrase = " ".join(f"p{i}" for i in range(9)) + " "
+    tails = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(10)) for _ in range(3)]
+    texts = [*near_copies()[::3], phrase * 50, *(phrase * 50 + t for t in tails)]
+    texts.append(" ".join([*texts[-1].split()[:-1], "zz"]))
+    sets, prints = [plain(t) for t in texts], [plain_print(t) for t in texts]
+    best = list(range(len(texts)))
+    by_print = 0
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                alike = sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+                near = (prints[a] ^ prints[b]).bit_count() <= 2
+                by_print += near and not alike
+                if alike or near:
+                    best[a] = best[b] = min(best[a], best[b])
+    assert by_print
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(make(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(best))
+    kept = corpus_pipeline.near_duplicates(spark, make(list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(best))
