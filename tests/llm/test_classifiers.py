@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -273,6 +274,43 @@ def test_sums_of_many_tasks(spark):
     assert language_model.tree_sum(rows.limit(0), "<f8") is None
 
 
+def test_sums_and_windows_hold_a_bounded_part_of_a_batch():
+    ids = np.random.default_rng(4).integers(0, 60, 4_000_000)
+    batch = pa.record_batch([language_model.packed(ids, np.arange(0, len(ids) + 1, 40_000), "<u2")], names=["ids"])
+    sent = SimpleNamespace(value=(np.arange(60, dtype=np.int32), np.arange(60, dtype=np.int16)))
+    for make in (language_model._id_counts("<u2", 60), language_model._neighbours("<u2", sent), language_model._window_rows("<u2", 16, 60)):
+        tracemalloc.start()
+        for _ in make(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 64 << 20
+
+
+def test_workers_get_small_batches(spark, tmp_path, monkeypatch):
+    name, real, store = "spark.sql.execution.arrow.maxBytesPerBatch", language_model._count_rows, language_model.materialize
+    before = spark.conf.get(name)
+
+    def noted(batches):
+        for b in batches:
+            with (tmp_path / "sizes").open("a") as f:
+                f.write(f"{b.nbytes}\n")
+            yield from real(iter([b]))
+
+    def stop(df, name):
+        store(df, name).count()
+        raise InterruptedError
+
+    monkeypatch.setattr(language_model, "_count_rows", noted)
+    monkeypatch.setattr(language_model, "materialize", stop)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+    with pytest.raises(InterruptedError):
+        language_model.scores(docs, BYTE)
+    sizes = [int(x) for x in (tmp_path / "sizes").read_text().split()]
+    assert sum(sizes) > 30 << 20 and max(sizes) < 10 << 20
+    assert spark.conf.get(name) == before
+
+
 def test_words_before_in_the_text():
     where, off = np.array([3, 1, 3, 3, 1, 1]), np.array([0, 4, 4, 6])
     times, passed = language_model.said_before(where, off)
