@@ -144,6 +144,40 @@ def test_the_loop_against_a_simulation(spark):
     assert len({t for t, _ in got}) > 1
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_a_round_is_the_same_as_its_compactions_one_by_one(spark, monkeypatch, few):
+    """Deletions are held back by the ranges of the outputs before, also where those come from held back deletions alone."""
+    monkeypatch.setattr(compact, "FEW_RANGES", few)
+    rng, oldest = random.Random(5), 200
+    rows = [(s, int(rng.random() > 0.7), f"k{rng.randint(0, 60):02d}", "v", (s - 1) // 4, 0) for s in range(1, 241)]
+    picks = compact.choose_round(((0, n) for n in range(60)), Options(tier_trigger=2))
+    assert len(picks) == 30 and picks[0] == compact.choose(((0, n) for n in range(60)), Options(tier_trigger=2))
+    others, want = [("k58", "k60")], {}
+    for number, pick in enumerate(picks, 1000):
+        mine, kept = [r for r in rows if r[4] in pick.inputs], []
+        for r in mine:
+            newer = any(x[2] == r[2] and r[0] < x[0] <= oldest for x in mine)
+            free = r[1] == 0 and r[0] <= oldest and not any(a <= r[2] <= b for a, b in others)
+            if not newer and not free:
+                kept.append(r)
+        if kept:
+            want[number] = sorted(r[0] for r in kept)
+            others.append((min(r[2] for r in kept), max(r[2] for r in kept)))
+    goes = spark.createDataFrame(compact.outputs_of(picks, list(range(1000, 1030))), "file_no bigint, made bigint")
+    got: dict = {}
+    for r in compact.merged_apart(entries(spark, rows).join(goes, "file_no"), [("k58", "k60")], oldest).collect():
+        got.setdefault(r.made, []).append(r.seq)
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_jobs_grow_with_tiers_not_with_files(spark):
+    spark.sparkContext.setJobGroup("rounds", "")
+    compact.compact_all(entries(spark, [(s, 1, f"k{s % 50:02d}", "v", s, 0) for s in range(64)]), 64).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # 21 compactions in 3 rounds.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < 60
+
+
 def test_empty_log(spark):
     e = entries(spark, []).limit(0)
     assert read.scan(e).count() == 0 and compact.compact_all(e, 0).count() == 0
