@@ -178,6 +178,27 @@ def test_jobs_grow_with_tiers_not_with_files(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < 60
 
 
+def test_a_store_compacts_a_tier_in_one_round(spark):
+    """40 files: under a snapshot, 20 + 10 + 5 + 2 + 1 compactions are counted, but only some jobs run; reads stay the same."""
+    rng = random.Random(7)
+    log = [(s, int(rng.random() > 0.3), f"k{rng.randint(0, 30):02d}", f"v{s}", (s - 1) // 5, 0) for s in range(1, 201)]
+    log = [(s, kind, key, v if kind else None, n, t) for s, kind, key, v, n, t in log]
+    store = Store(spark, Options(tier_trigger=2), entries=entries(spark, log))
+    with store.snapshot() as at:
+        store.delete("k00")
+        spark.sparkContext.setJobGroup("store", "")
+        store.compact()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("store")) < 150
+        got = {r.user_key: r.value for r in store.scan(at).collect()}
+        assert got == model_scan([r[:4] for r in log], at)
+        assert "k00" not in {r.user_key for r in store.scan().collect()}
+    assert store.counters["compactions"] == 38
+    assert sorted((m["tier"], m["num_entries"]) for m in store.live.values()) == sorted((r.tier, r["count"]) for r in store.entries.groupBy("tier", "file_no").count().collect())
+    again = Store(spark, Options(tier_trigger=2), path=store.folder.path)
+    assert {r.user_key: r.value for r in again.scan(at).collect()} == got
+
+
 def test_empty_log(spark):
     e = entries(spark, []).limit(0)
     assert read.scan(e).count() == 0 and compact.compact_all(e, 0).count() == 0
