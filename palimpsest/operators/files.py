@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..options import DEFAULT, Options
 from ..schemas import DELETION
+from ..sources.storage import stored
 from .ordered import running_total
 
 
@@ -78,6 +79,40 @@ def consulted(probes: DataFrame, meta: DataFrame) -> DataFrame:
     return covering(keys, meta, "files").select("probe_id", F.col("key").alias("user_key"), "files")
 
 
+CHUNK = 4096
+SPREAD = 16
+
+
+def looked_up(probes: DataFrame, index: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(file_no, probe_id, block_no) of every probe (probe_id, user_key) and every file of the index (file_no, block_no,
+    last_key) that has a block whose last key is not below the probe's: the first such block.
+
+    In key order, the probes of a block follow each other: those above the last key of the block before it, up to its own.
+    So probes and last keys are ordered once, the probes are kept in chunks of that order, and each block takes its stretch
+    of every chunk that it reaches. The rows of the result, as many as probes times files, are made where they are read,
+    and are neither sorted nor shuffled.
+    """
+    spark = probes.sparkSession
+    none = F.lit(None).cast("bigint")
+    asked = probes.select(F.col("user_key").alias("key"), F.lit(0).alias("turn"), F.col("probe_id").cast("bigint").alias("probe_id"), none.alias("file_no"), none.alias("block_no"), F.lit(1).cast("bigint").alias("more"))
+    ends = index.select(F.col("last_key").alias("key"), F.lit(1).alias("turn"), none.alias("probe_id"), "file_no", "block_no", F.lit(0).cast("bigint").alias("more"))
+    line = stored(running_total(asked.union(ends), "more", "upto", "key", "turn", "probe_id", "file_no", "block_no"), "looked-up")
+    at = F.col("upto") - 1
+    members = F.array_sort(F.collect_list(F.struct(at.alias("at"), "probe_id")))
+    chunks = line.where("turn = 0").groupBy(F.floor(at / chunk).alias("chunk")).agg(members["probe_id"].alias("ids"))
+    chunks = chunks.select("chunk", "ids", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    before = F.lag("upto", 1, 0).over(Window.partitionBy("file_no").orderBy("block_no"))
+    blocks = line.where("turn = 1").select("file_no", "block_no", before.alias("low"), F.col("upto").alias("high")).where("high > low")
+    reached = F.explode(F.sequence(F.floor(F.col("low") / chunk), F.floor((F.col("high") - 1) / chunk))).alias("chunk")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    pairs = blocks.select("file_no", "block_no", "low", "high", reached).withColumn("part", F.pmod(F.hash("file_no", "block_no"), F.lit(SPREAD)))
+    met = pairs.repartition(parts, "chunk", "part").join(chunks.hint("merge"), ["chunk", "part"])
+    first = F.greatest(F.col("low") - F.col("chunk") * chunk, F.lit(0))
+    last = F.least(F.col("high") - F.col("chunk") * chunk, F.lit(chunk))
+    mine = F.slice("ids", (first + 1).cast("int"), (last - first).cast("int"))
+    return met.select("file_no", F.explode(mine).alias("probe_id"), "block_no")
+
+
 def first_hit(entries: DataFrame, snap: int | Column | None = None) -> DataFrame:
     """The version that a search finds which goes from the shallowest tier down and from the newest file back. It is the
     newest one only while every compaction moves the oldest files down. One partial and one final aggregate."""

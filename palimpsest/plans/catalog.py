@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..operators import compact, files, manifest, metrics, ordered, read, wal
+from ..operators import compact, files, manifest, metrics, read, wal
 from ..options import DEFAULT, Options
 from ..sources import carriers as c
 from ..sources import log_file, workload
@@ -715,15 +715,10 @@ def bloom_fpr(spark, d):
 @query
 def block_lookup(spark, d):
     """The block of each file that an index search takes each probe's key to: the first whose last key is not below it.
-    Probes and separators are merged in falling key order within each file, and the last separator seen is the answer."""
+    A row for each probe and file is the query's result, so the work is one pass that makes them, see files.looked_up."""
     p = _placed(spark, d)
     index = encode.separators(p.join(encode.cut_blocks(p.select("file_no", "pos", "size"), BLOCK), ["file_no", "pos"]))
-    ends = index.select("file_no", F.col("last_key").alias("key"), F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("probe_id"), "block_no")
-    numbers = _entries(spark, d).select("file_no").distinct()
-    asked = c.probes(spark, d).crossJoin(numbers).select("file_no", F.col("user_key").alias("key"), F.lit(1).alias("turn"), F.col("probe_id").cast("bigint").alias("probe_id"), F.lit(None).cast("bigint").alias("block_no"))
-    # Of several blocks that end with one key, the first is met last.
-    merged = ordered.carried(ends.union(asked), "file_no", "block_no", F.col("key").desc(), "turn", F.col("block_no").desc(), "probe_id")
-    return merged.where("probe_id IS NOT NULL AND block_no IS NOT NULL").select("file_no", "probe_id", "block_no")
+    return files.looked_up(c.probes(spark, d), index)
 
 
 @query
